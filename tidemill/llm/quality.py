@@ -47,8 +47,8 @@ SMALL = b"abcdefghijklmnopqrstuvwxyz"
 EDGES = b".,;:!?\"'()[]#$%&*|-"
 PASS, GOOD, BAD = 0, 1, 2
 
-#: Texts the scorer is fitted on, about; words to an insult from which a text counts as toxic.
-SAMPLE, TOXIC_WORDS = 4000, 200
+#: Texts the scorer is fitted on, about; words to an insult from which a text counts as toxic; bytes of short texts.
+SAMPLE, TOXIC_WORDS, SHORT = 4000, 200, 200
 
 
 def _vote(good: bool, bad: bool) -> int:
@@ -82,6 +82,8 @@ def votes(raw: bytes, words: list[bytes]) -> tuple[int, ...]:
 
 
 LABELLERS = 9
+#: Bad texts come in kinds, each seen by some labellers only: symbols, capitals, repetition, no prose.
+KINDS = ((0, 1), (2, 3), (6, 7), (4, 8))
 
 
 def pattern(text: str) -> int:
@@ -94,40 +96,52 @@ def insults(text: str) -> tuple[int, int]:
     return sum(map(INSULTS.__contains__, (w.strip(EDGES) for w in words))), len(words)
 
 
-def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
-    """Posterior of good by pattern, P(bad vote | class, a vote) by labeller (row 1: good texts), and the share of good.
+def fit(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
+    """Posterior of good by pattern, P(bad vote | class, a vote) by class and labeller, and the classes' shares.
 
-    A labeller that passes says nothing. Begins with few false alarms and with
-    labellers that each see some kinds of bad text only; ends when nothing
-    moves. Counts are smoothed, so a vote never seen isn't impossible.
+    Class 0 is good, the others are the kinds of bad text: with one class for
+    all of them the estimate would follow the largest kind alone. A labeller
+    that passes says nothing. Begins with few false alarms and labellers that
+    see their own kind; ends when nothing moves. Counts are smoothed, so a vote
+    never seen isn't impossible.
     """
-    table = np.empty((2, LABELLERS))
-    table[1], table[0], prior = 0.03, 0.4, 0.9
+    table = np.full((1 + len(KINDS), LABELLERS), 0.05)
+    for k, own in enumerate(KINDS):
+        table[1 + k, list(own)] = 0.8
+    share = np.array([0.9, *[0.1 / len(KINDS)] * len(KINDS)])
     if not counts:
-        return {}, table, prior
+        return {}, table, share
+    start_table, start_share = table.copy(), share.copy()
     keys = np.array(sorted(counts))
     n = np.array([counts[k] for k in keys], float)
     v = np.stack([(keys // 3**i) % 3 for i in range(LABELLERS)], axis=1)
     is_good, is_bad = (v == GOOD).astype(float), (v == BAD).astype(float)
     for _ in range(rounds):
-        log = [is_bad @ np.log(t) + is_good @ np.log(1 - t) for t in table]
-        p = sigmoid(np.log(prior / (1 - prior)) + log[1] - log[0])
-        new = np.empty_like(table)
-        for c, w in ((1, p * n), (0, (1 - p) * n)):
-            bad, good = w @ is_bad, w @ is_good
-            new[c] = (bad + table[c]) / (bad + good + 1)
+        log = np.log(share) + is_bad @ np.log(table).T + is_good @ np.log(1 - table).T
+        p = np.exp(log - log.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        w = (p * n[:, None]).T
+        bad, good = w @ is_bad, w @ is_good
+        new = (bad + start_table) / (bad + good + 1)
         moved = np.abs(new - table).max()
-        table, prior = new, float(np.clip((p @ n + 0.9) / (n.sum() + 1), 0.01, 0.99))
+        table, share = new, (w.sum(1) + start_share) / (n.sum() + 1)
         if moved < 1e-7:
             break
-    return dict(zip(keys.tolist(), p.tolist(), strict=True)), table, prior
+    return dict(zip(keys.tolist(), p[:, 0].tolist(), strict=True)), table, share
+
+
+def scorer_features(text: str) -> np.ndarray:
+    """A few bytes say little: texts of less than SHORT bytes have smaller features, which leaves them near the bias."""
+    raw = text.encode()
+    return features(raw) * np.float32(min(1.0, len(raw) / SHORT))
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, pattern, posterior, score, toxic, keep.
 
     posterior is the labellers' verdict, score the linear scorer's (both 0 to
-    1); toxic: at least one word in TOXIC_WORDS is an insult; keep: score of
+    1); toxic: two insults, or one in a text of at most
+    TOXIC_WORDS words; keep: score of
     0.5 or more and not toxic. Null texts and texts without words score 0 and
     aren't kept. Equal texts get equal results; repeated rows give repeated
     rows; an empty table gives an empty result; other columns aren't looked at.
@@ -153,7 +167,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             use = [s for t in batch.column(0) if (s := t.as_py()) and not s.isspace()]
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(s) for s in use], pa.int64()), pa.array([features(s.encode()).astype(np.float16).tobytes() for s in use], pa.binary())], ["pattern", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(s) for s in use], pa.int64()), pa.array([scorer_features(s).astype(np.float16).tobytes() for s in use], pa.binary())], ["pattern", "x"])
 
     weights = None
     if total:
@@ -178,8 +192,8 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 k = pattern(s)
                 bad, n = insults(s)
                 p = posterior.get(k, 0.5)
-                score = p if weights is None else float(sigmoid(margin(weights, features(s.encode()))))
-                out.append((k, p, score, bad > 0 and bad * TOXIC_WORDS >= n))
+                score = p if weights is None else float(sigmoid(margin(weights, scorer_features(s))))
+                out.append((k, p, score, bad >= 2 or bad * TOXIC_WORDS >= max(n, 1)))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "pattern", "posterior", "score", "toxic"])
