@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialize, text_key
 
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Digits, letters a-z and all beyond ASCII. Said this way round, Java's matcher is ten times as fast.
+ITEM_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Letters of either case make the same words, so counting needs no lower-casing.
-ITEM_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ITEM_WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Up to so many words the prefix side is broadcast (well under 50 MB); beyond, both sides are shuffled.
 BROADCAST_WORDS = 400_000
 
