@@ -96,30 +96,29 @@ class EliasFano:
         return ((self._select(i, 1) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, -1 where the list lacks it: successor search within the values that share x's upper part."""
+        """Index of each x, -1 where the list lacks it: successor search, by halving, among the values that share x's upper part."""
         x = np.asarray(x, np.uint64)
         out = np.full(len(x), -1, np.int64)
-        if not self.n or not len(x):
+        if not self.n:
             return out
-        h = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        zeros = len(self.high) * 64 - self.n
-        live = np.flatnonzero((h < zeros) & (x >> np.uint64(self.low_bits) < np.uint64(1 << 62)))
-        hh = h[live]
-        at = np.zeros(len(live), np.int64)
-        some = hh > 0
-        at[some] = self._select(hh[some] - 1, 0) + 1
+        upper = x >> np.uint64(self.low_bits)
+        live = np.flatnonzero(upper < np.uint64(len(self.high) * 64 - self.n))
+        h = upper[live].astype(np.int64)
+        low, end = np.zeros(len(live), np.int64), self._select(h, 0) - h
+        some = h > 0
+        low[some] = self._select(h[some] - 1, 0) - (h[some] - 1)
         want = x[live] & np.uint64((1 << self.low_bits) - 1)
-        while len(live):
-            here = (at < len(self.high) * 64) & ((self.high[np.minimum(at >> 6, len(self.high) - 1)] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            live, hh, at, want = live[here], hh[here], at[here], want[here]
-            if not len(live):
-                break
-            i = at - hh
-            low = self._lows(i)
-            hit = low == want
-            out[live[hit]] = i[hit]
-            on = low < want
-            live, hh, at, want = live[on], hh[on], at[on] + 1, want[on]
+        top = end.copy()
+        busy = np.flatnonzero(low < top)
+        while len(busy):
+            mid = (low[busy] + top[busy]) >> 1
+            less = self._lows(mid) < want[busy]
+            low[busy[less]] = mid[less] + 1
+            top[busy[~less]] = mid[~less]
+            busy = busy[low[busy] < top[busy]]
+        ok = np.flatnonzero(low < end)
+        ok = ok[self._lows(low[ok]) == want[ok]]
+        out[live[ok]] = low[ok]
         return out
 
 
