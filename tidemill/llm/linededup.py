@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize
 
 #: Share of a host's pages from which a line is boilerplate, and pages that must hold it at the least.
 RATIO, MIN_PAGES = 0.03, 3
@@ -31,21 +31,17 @@ def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "sou
     return on.join(totals, on["host"].eqNullSafe(totals["t_host"])).where(F.col("pages") > F.col("total") * F.lit(float(ratio))).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with boilerplate lines cut from the text, and __n_lines, __n_dropped; rows are kept even if nothing is left.
 
     Blank lines are neither counted nor dropped. Null hosts are one host. Null
     texts stay null and have no lines, but count as pages. Hosts of few pages
     lose nothing, for want of min_pages. Other columns are untouched.
     """
-    drop = materialize(boilerplate(docs, text_col=text_col, host_col=host_col, ratio=ratio, min_pages=min_pages), "boilerplate")
-    keys = F.array_distinct(F.transform(F.split(text_col, "\n"), _key))
-    lines = docs.select(F.col(id_col).alias("d_id"), F.col(host_col).alias("d_host"), text_key(F.col(text_col)).alias("d_h"), F.explode(keys).alias("d_line")).where(F.col("d_line").isNotNull())
-    hit = lines.join(drop, lines["d_host"].eqNullSafe(drop["host"]) & (lines["d_line"] == drop["line"]))
-    # A document's own lines only: bounded by its length.
-    per = materialize(hit.groupBy("d_id", "d_host", "d_h").agg(F.collect_set("line").alias("__drop")), "documents-with-boilerplate")
-    per = per.select(F.col("d_id").alias("__id"), F.col("d_host").alias("__host"), F.col("d_h").alias("__h"), "__drop")
-    out = docs.join(per, docs[id_col].eqNullSafe(per["__id"]) & docs[host_col].eqNullSafe(per["__host"]) & (text_key(docs[text_col]) == per["__h"]), "left")
+    # A line on more than `ratio` of a host's pages: a host has fewer of them than its lines per page divided by ratio.
+    drop = boilerplate(docs, text_col=text_col, host_col=host_col, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_set("line").alias("__drop"))
+    drop = materialize(drop.select(F.col("host").alias("__host"), "__drop"), "boilerplate")
+    out = docs.join(drop, docs[host_col].eqNullSafe(drop["__host"]), "left")
     parts = F.split(docs[text_col], "\n")
     kept = F.when(F.col("__drop").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _key(x)), F.lit(False))))
     n = F.coalesce(F.size(parts), F.lit(0))
