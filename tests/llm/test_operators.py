@@ -412,7 +412,6 @@ def test_simhash_links_join_up_all_near_fingerprints(spark, monkeypatch, small):
     order = np.argsort(np.array(keys), kind="stable")
     k, f = np.array(keys)[order], np.array(fps, np.uint64)[order][:, None]
     i, j = simhash.links_of_runs(k, f, simhash.BITS_3)
-    assert (np.bitwise_count(f[i, 0] ^ f[j, 0]) <= 3).all()
     edges = [(f"{int(a):016x}", f"{int(b):016x}") for a, b in zip(f[i, 0], f[j, 0])]
     found = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a string, b string")).collect()))
     ids = [(x, x) for x in prints]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, materialize, text_key
 
 #: Candidates that share a variant are compared pair by pair up to so many, and by growing trees beyond.
-SMALL_RUN = 32
+SMALL_RUN = 8
 _CHUNK = 1 << 15
 
 
@@ -104,24 +104,24 @@ def _place(key: int, scheme: Scheme) -> tuple[int, int, bool]:
 
 
 def tree(fps: np.ndarray, half: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    """Links that join up what is within `distance`; with half, only links between its two values count."""
+    """Joins up what is within `distance`, each connected part as a star about its first row; with half, only links between its two values count."""
     left, out = np.arange(len(fps)), []
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        root, queue, left = int(left[0]), [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
             near = _distance(fps[left], fps[x]) <= distance
             if half is not None:
                 near &= half[left] != half[x]
             got = left[near]
-            out += [(x, int(y)) for y in got]
+            out += [(root, int(y)) for y in got]
             queue += got.tolist()
             left = left[~near]
     return out
 
 
 def links_of_runs(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Linked rows (i, j) among those with equal keys; keys are sorted."""
+    """Rows (i, j) that join up all linked rows with equal keys; keys are sorted."""
     a, b = [], []
     cut = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
@@ -134,9 +134,11 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray, scheme: Scheme) -> tuple[np
         half = None if first else (fps[s:e, word] >> np.uint64(bit)) & np.uint64(1)
         if half is not None and (half == half[0]).all():
             continue
-        for i, j in tree(fps[s:e], half, scheme.distance):
-            a.append(np.array([s + i]))
-            b.append(np.array([s + j]))
+        # In the order of the fingerprints, so that the stars of many runs share their centres.
+        order = np.lexsort(fps[s:e].T)
+        star = np.array(tree(fps[s:e][order], None if half is None else half[order], scheme.distance), np.int64).reshape(-1, 2)
+        a.append(s + order[star[:, 0]])
+        b.append(s + order[star[:, 1]])
     at = np.flatnonzero(small)
     k, f = keys[at], fps[at]
     step = 1
@@ -189,19 +191,35 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return keyed.mapInArrow(run, "a string, b string").distinct()
 
 
+def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, label, old): each label replaced by its own label in step (node, label), where it has one."""
+    step = step.select(F.col("node").alias("s_node"), F.col("label").alias("s_label"))
+    return labels.join(step, labels["label"] == step["s_node"], "left").select("node", F.coalesce("s_label", "label").alias("label"), F.col("label").alias("old"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node reachable. Each round takes the neighbours' smallest label, then the label's own label."""
-    both = materialize(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).where("src <> dst").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    """(node, label): label is the smallest node reachable.
+
+    Each node points to its smallest neighbour, or itself; following the
+    pointers doubles their reach until they end in roots. Links are then drawn
+    between roots, most of them vanishing, and the rest goes round again.
+    """
+    pairs = materialize(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst").distinct(), "links")
+    total = None
     while True:
-        heard = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("low"))
-        lower = labels.join(heard, labels["node"] == heard["dst"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
-        lower = materialize(lower, "lower")
-        up = lower.select(F.col("node").alias("up_node"), F.col("label").alias("up"))
-        new = materialize(lower.join(up, lower["label"] == up["up_node"], "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        both = pairs.union(pairs.select("dst", "src"))
+        roots = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")), "pointers")
+        while True:
+            further = materialize(_follow(roots, roots), "pointers")
+            roots = further.select("node", "label")
+            if further.where("label <> old").isEmpty():
+                break
+        total = roots if total is None else materialize(_follow(total, roots).select("node", "label"), "labels")
+        near = pairs.join(roots, pairs["src"] == roots["node"]).select(F.col("label").alias("new_src"), "dst")
+        pairs = near.join(roots, near["dst"] == roots["node"]).select(F.col("new_src").alias("src"), F.col("label").alias("dst")).where("src <> dst").distinct()
+        pairs = materialize(pairs, "links")
+        if pairs.isEmpty():
+            return total
 
 
 def groups(docs: DataFrame, scheme: Scheme = BITS_3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
