@@ -78,8 +78,10 @@ def shingles(text: Column) -> Column:
     low = F.lower(text)
     words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
     chars = F.regexp_replace(low, r"\s+", "")
-    by_word = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 2)), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    by_char = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chars) - 2)), lambda i: F.substring(chars, i, F.lit(3)))
+    # The array of one binds its element, which is then worked out once and not for every window.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    by_word = once(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    by_char = once(chars, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
     return F.when(F.substring(low, 1, 200).rlike(CJK), by_char).otherwise(by_word)
 
 
@@ -102,7 +104,8 @@ STOP = {
 def detect_language(text: Column) -> Column:
     """Language with most function words, null for under 50 characters (15 with CJK) or none; ties go by the alphabet."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    best = F.array_max(F.array(*(F.struct(F.size(F.filter(words, lambda w, s=s: w.isin(s))).alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("lang")) for k, (c, s) in enumerate(sorted(STOP.items())))))
+    among = lambda s: F.size(F.filter(words, lambda w: w.isin(s)))
+    best = F.array_max(F.array(*(F.struct(among(s).alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("lang")) for k, (c, s) in enumerate(sorted(STOP.items())))))
     enough = F.length(text) >= F.when(F.substring(text, 1, 100).rlike(CJK), 15).otherwise(50)
     return F.when(enough & (best["n"] > 0), best["lang"])
 

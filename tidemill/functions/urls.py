@@ -129,7 +129,7 @@ def sitemap_priority(url: Column) -> Column:
 
 def retry_backoff(attempts: Column) -> Column:
     """Seconds to wait before attempt number attempts + 1."""
-    return F.lit(30).cast("long") * F.shiftleft(F.lit(1).cast("long"), attempts)
+    return F.lit(30).cast("long") * F.pow(F.lit(2), attempts).cast("long")
 
 
 def domain_list(text: Column) -> Column:
