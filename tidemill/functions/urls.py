@@ -122,8 +122,8 @@ def is_sitemap(url: Column) -> Column:
 def sitemap_priority(url: Column) -> Column:
     low = F.lower(url)
     return (
-        F.when(low.rlike("feed|/rss|atom|rss2"), 0).when(F.contains(low, F.lit("news")) & F.contains(low, F.lit("sitemap")), 1)
-        .when(F.contains(low, F.lit("sitemap_index")) | low.endswith("/sitemap.xml"), 3).otherwise(2)
+        F.when(low.rlike("/feed|/rss|atom|rss2"), 0).when(F.contains(low, F.lit("news")) & F.contains(low, F.lit("sitemap")), 1)
+        .when(F.contains(low, F.lit("sitemap_index")) | low.rlike("/sitemap[.]xml/*$"), 3).otherwise(2)
     )
 
 

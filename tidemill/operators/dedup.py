@@ -11,19 +11,18 @@ key that many rows share makes no pairs.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import norm_date, norm_title
 from ..functions.urls import normalize_url
+from ..tables import written
 
 BANDS, ROWS = 9, 13
 CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
@@ -31,14 +30,6 @@ PRIME = (1 << 31) - 1
 _A, _B = ((np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(k)) % np.uint64(PRIME) for k in (1103515245, 862048943))
 
 
-def _write(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidemill-shared"
-    path = f"{base.rstrip('/')}/tidemill/dedup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def windows(text: str) -> set[str]:
     """The shingles of functions.text, for use in Python: three words, or three characters of texts that begin with any CJK."""
     low = text.lower()
@@ -67,40 +58,49 @@ def minhash_bands(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-def layered(docs: DataFrame, *, near: bool = True) -> DataFrame:
-    """docs (seq, url, text, title, publish_date) with url_key, kept, reason, dup_type and duplicate_of (seq).
+def layered(docs: DataFrame, *, near: bool = True, existing: DataFrame | None = None) -> DataFrame:
+    """docs (seq, url, text, title, publish_date) with url_key, kept, reason, dup_type, duplicate_of (seq) and original_key.
 
-    seq orders the rows and is unique. Reasons in order: url, exact, near, title and date.
+    seq orders the rows and is unique. Reasons in order: url, exact, near, title
+    and date. existing has the same columns and lower seqs: articles of earlier
+    runs, which count as kept whatever they share, and aren't returned.
     """
-    base = docs.select("seq", normalize_url(F.col("url")).alias("url_key"), F.sha2("text", 256).alias("sha"), F.concat_ws("\x1f", norm_title(F.col("title")), norm_date(F.col("publish_date"))).alias("td"), (norm_title(F.col("title")).isNotNull() & norm_date(F.col("publish_date")).isNotNull()).alias("has_td"), "text")
-    first = F.min("seq").over(Window.partitionBy("url_key"))
-    layers = [F.struct(F.lit(2).alias("layer"), F.col("sha").alias("key")), F.when(F.col("has_td"), F.struct(F.lit(4).alias("layer"), F.col("td").alias("key")))]
-    base = base.withColumn("first", first)
-    keys = F.array(*layers)
+    docs = docs.withColumn("forced", F.lit(False))
+    if existing is not None:
+        docs = docs.unionByName(existing.withColumn("forced", F.lit(True)))
+    title, date = norm_title(F.col("title")), norm_date(F.col("publish_date"))
+    base = docs.select("seq", "forced", normalize_url(F.col("url")).alias("url_key"), F.sha2("text", 256).alias("sha"), F.when(title.isNotNull() & date.isNotNull(), F.concat_ws("\x1f", title, date)).alias("td"), "text")
+    keys = F.array(F.struct(F.lit(2).alias("layer"), F.col("sha").alias("key")), F.struct(F.lit(4).alias("layer"), F.col("td").alias("key")))
     if near:
         # Written first: a Python function's result can't be bound inside a higher-order function of the same stage.
-        base = _write(base.withColumn("bands", minhash_bands("text")).drop("text"))
+        base = written(base.withColumn("bands", minhash_bands("text")).drop("text"), "bands")
         bands = F.transform(F.coalesce("bands", F.array().cast("array<bigint>")), lambda b, i: F.struct(F.lit(3).alias("layer"), F.concat_ws(":", i.cast("string"), b.cast("string")).alias("key")))
         keys = F.concat(keys, bands)
-    base = _write(base.select("seq", "url_key", "first", keys.alias("keys")))
-    held = _write(base.where("seq = first").select("seq", F.explode(F.filter("keys", lambda k: k.isNotNull() & k["key"].isNotNull())).alias("k")).select("seq", "k.layer", "k.key"))
-    state = _write(base.where("seq = first").select("seq", F.lit(None).cast("boolean").alias("kept")))
+    base = written(base.select("seq", "forced", "url_key", F.filter(keys, lambda k: k["key"].isNotNull()).alias("keys")), "keys")
+    # The earliest of each url key by an aggregate, which combines before its shuffle, not by a window over all its rows.
+    firsts = base.groupBy("url_key").agg(F.min("seq").alias("first"))
+    base = written(base.join(firsts, "url_key"), "firsts")
+    live = base.where("forced or seq = first")
+    held = written(live.select("seq", F.explode("keys").alias("k")).select("seq", "k.layer", "k.key"), "held")
+    state = written(live.select("seq", F.when(F.col("forced"), True).alias("kept")), "state")
     while True:
         known = held.join(state, "seq")
         low = known.groupBy("layer", "key").agg(F.min(F.when(F.col("kept"), F.col("seq"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("seq"))).alias("u"))
         seen = known.where("kept is null").join(low, ["layer", "key"])
         per = seen.groupBy("seq").agg(F.bool_or(F.coalesce(F.col("k") < F.col("seq"), F.lit(False))).alias("hit"), F.bool_and(F.col("u") == F.col("seq")).alias("earliest"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("earliest", F.lit(True)), True)
-        state = _write(state.join(per, "seq", "left").select("seq", new.alias("kept")))
+        state = written(state.join(per, "seq", "left").select("seq", new.alias("kept")), "state")
         if state.where("kept is null").isEmpty():
             break
     kept = held.join(state.where("kept"), "seq").groupBy("layer", "key").agg(F.min("seq").alias("orig"))
     why = held.join(state.where("not kept"), "seq").join(kept, ["layer", "key"]).where("orig < seq").groupBy("seq").agg(F.min(F.struct("layer", "orig")).alias("w"))
-    out = base.join(state, "seq", "left").join(why, "seq", "left")
+    out = base.where("not forced").join(state, "seq", "left").join(why, "seq", "left")
     layer = F.when(F.col("seq") != F.col("first"), 1).otherwise(F.col("w.layer"))
-    return out.select(
+    out = out.select(
         "seq", "url_key", F.coalesce("kept", F.lit(False)).alias("kept"),
         F.when(layer == 1, "duplicate_url").when(layer == 2, "duplicate_content:exact_hash").when(layer == 3, "duplicate_content:near_duplicate_of").when(layer == 4, "duplicate_title_date").alias("reason"),
         F.when(layer == 1, "url").when(layer == 2, "exact_content").when(layer.isin(3, 4), "near_content").alias("dup_type"),
         F.when(layer == 1, F.col("first")).otherwise(F.col("w.orig")).alias("duplicate_of"),
     )
+    origin = base.select(F.col("seq").alias("duplicate_of"), F.col("url_key").alias("original_key"))
+    return out.join(origin, "duplicate_of", "left").select(*out.columns, "original_key")

@@ -67,7 +67,7 @@ def build() -> dict:
     out["url_normalize"] = (lambda s, d: page(s, d).select("page_id", urls.normalize_url(F.col("url")).alias("url_key")), norm)
     out["url_dedup"] = (lambda s, d: page(s, d).groupBy(urls.normalize_url(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")), f"SELECT url_key, min(page_id) AS first_page, count(*) AS n FROM ({norm}) GROUP BY url_key")
     out["url_trap"] = (lambda s, d: page(s, d).select("page_id", urls.is_trap(F.col("url")).alias("trap"), urls.is_sitemap(F.col("url")).alias("sitemap"), urls.sitemap_priority(F.col("url")).alias("priority")),
-        f"WITH {_page_urls_sql()} SELECT page_id, length(path) - length(replace(path, '/', '')) > 8 OR length(query) - length(replace(query, '&', '')) >= 3 AS trap, contains(lower(path), 'sitemap') AS sitemap, CASE WHEN regexp_matches(lower(url), 'feed|/rss|atom|rss2') THEN 0 WHEN contains(lower(url), 'news') AND contains(lower(url), 'sitemap') THEN 1 WHEN contains(lower(url), 'sitemap_index') OR ends_with(lower(url), '/sitemap.xml') THEN 3 ELSE 2 END AS priority FROM p")
+        f"WITH {_page_urls_sql()} SELECT page_id, length(path) - length(replace(path, '/', '')) > 8 OR length(query) - length(replace(query, '&', '')) >= 3 AS trap, contains(lower(path), 'sitemap') AS sitemap, CASE WHEN regexp_matches(lower(url), '/feed|/rss|atom|rss2') THEN 0 WHEN contains(lower(url), 'news') AND contains(lower(url), 'sitemap') THEN 1 WHEN contains(lower(url), 'sitemap_index') OR regexp_matches(lower(url), '/sitemap[.]xml/*$') THEN 3 ELSE 2 END AS priority FROM p")
     out["block_detect"] = (lambda s, d: page(s, d).select("page_id", blocks.detect_block(F.lit(200), F.col("html")).alias("b")).select("page_id", "b.blocked", "b.reason"), None)
     out["block_detect_legacy"] = (lambda s, d: page(s, d).select("page_id", blocks.detect_block_legacy(F.lit(200), F.col("html")).alias("b")).select("page_id", "b.blocked", "b.reason"), None)
     out["html_headings"] = (lambda s, d: page(s, d).select("page_id", F.array_join(html.headings(F.col("html")), "|").alias("headings"), html.html_lang(F.col("html")).alias("lang")), None)
