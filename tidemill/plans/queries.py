@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import blocks, html, text, urls
+from ..functions import html, text, urls
 from ..operators import dedup, frontier
+from . import monitoring, runs
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -68,9 +69,6 @@ def build() -> dict:
     out["url_dedup"] = (lambda s, d: page(s, d).groupBy(urls.normalize_url(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")), f"SELECT url_key, min(page_id) AS first_page, count(*) AS n FROM ({norm}) GROUP BY url_key")
     out["url_trap"] = (lambda s, d: page(s, d).select("page_id", urls.is_trap(F.col("url")).alias("trap"), urls.is_sitemap(F.col("url")).alias("sitemap"), urls.sitemap_priority(F.col("url")).alias("priority")),
         f"WITH {_page_urls_sql()} SELECT page_id, length(path) - length(replace(path, '/', '')) > 8 OR length(query) - length(replace(query, '&', '')) >= 3 AS trap, contains(lower(path), 'sitemap') AS sitemap, CASE WHEN regexp_matches(lower(url), '/feed|/rss|atom|rss2') THEN 0 WHEN contains(lower(url), 'news') AND contains(lower(url), 'sitemap') THEN 1 WHEN contains(lower(url), 'sitemap_index') OR regexp_matches(lower(url), '/sitemap[.]xml/*$') THEN 3 ELSE 2 END AS priority FROM p")
-    out["block_detect"] = (lambda s, d: page(s, d).select("page_id", blocks.detect_block(F.lit(200), F.col("html")).alias("b")).select("page_id", "b.blocked", "b.reason"), None)
-    out["block_detect_legacy"] = (lambda s, d: page(s, d).select("page_id", blocks.detect_block_legacy(F.lit(200), F.col("html")).alias("b")).select("page_id", "b.blocked", "b.reason"), None)
-    out["html_headings"] = (lambda s, d: page(s, d).select("page_id", F.array_join(html.headings(F.col("html")), "|").alias("headings"), html.html_lang(F.col("html")).alias("lang")), None)
     body = "coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), html)"
     for pattern, by in html.BODY_STEPS:
         body = "regexp_replace({}, '{}', '{}', 'g')".format(body, pattern.replace("'", "''"), by.replace("'", "''"))
@@ -81,9 +79,7 @@ def build() -> dict:
         SELECT page_id, url, list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda x: trim(x)) AS h FROM pages)))
         WHERE raw <> '' AND NOT starts_with(raw, '#') AND NOT starts_with(raw, 'mailto:') AND regexp_extract(full_url, '^[^:]+://([^/?#]*)', 1) = regexp_extract(url, '^[^:]+://([^/?#]*)', 1)""")
     out["article_extract"] = (lambda s, d: page(s, d).select("page_id", *(c.alias(k) for k, c in html.extract(F.col("html"), F.col("url"), at()).items() if k not in ("headings", "quality_reasons"))).where("main_text is not null"), None)
-    out["uniqueness"] = (lambda s, d: docs(s, d).select("doc_id", F.round(text.uniqueness(F.col("text")), 6).alias("uniqueness"), text.sentence_count(F.col("text")).alias("sentences")), None)
     out["exact_fingerprint"] = (lambda s, d: docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha")), "SELECT doc_id, sha256(text) AS sha FROM documents")
-    out["detect_language"] = (lambda s, d: docs(s, d).select("doc_id", text.detect_language(F.col("text")).alias("language")), None)
     chunks = "SELECT doc_id, CAST(i AS INTEGER) AS pos, substr(substr(text, 1, 20000), i * 4500 + 1, 4500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(least(length(text), 20000) / 4500.0) AS BIGINT))) AS i FROM documents WHERE coalesce(lang, '') <> 'en' AND length(text) > 0)"
     out["translate_chunks"] = (lambda s, d: docs(s, d).select("doc_id", F.posexplode(text.translate_chunks(F.col("text"), F.col("lang"))).alias("pos", "chunk")), chunks)
 
@@ -98,10 +94,10 @@ def build() -> dict:
     out["release"] = (lambda s, d: frontier.release(_queue(s, d)).groupBy("status").agg(F.count("*").alias("n")), f"WITH {QUEUE} SELECT CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS status, count(*) AS n FROM q GROUP BY 1")
     out["retry_schedule"] = (lambda s, d: frontier.fail(_queue(s, d), now()).select("id", "status", "attempts", F.unix_timestamp("next_attempt_at").alias("next_s")), f"WITH {QUEUE} SELECT id, CASE WHEN attempts + 1 >= max_attempts THEN 'failed' ELSE 'pending' END AS status, attempts + 1 AS attempts, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) + 30 * (1 << attempts) AS next_s FROM q")
     out["defer"] = (lambda s, d: frontier.defer(_queue(s, d), now(), 60).select("id", "status", F.unix_timestamp("next_attempt_at").alias("next_s")), f"WITH {QUEUE} SELECT id, 'pending' AS status, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) + 60 AS next_s FROM q")
-    runs = f"""WITH {EVENTS}, i AS (SELECT *, kind = 'blocked' AS blocked, sum(CASE WHEN kind = 'blocked' THEN 0 ELSE 1 END) OVER (PARTITION BY domain ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM e),
+    islands = f"""WITH {EVENTS}, i AS (SELECT *, kind = 'blocked' AS blocked, sum(CASE WHEN kind = 'blocked' THEN 0 ELSE 1 END) OVER (PARTITION BY domain ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM e),
       r AS (SELECT domain, island, sum(CASE WHEN blocked THEN 1 ELSE 0 END) AS run, count(*) AS n FROM i GROUP BY ALL)
       SELECT domain, CAST(sum(n) AS BIGINT) AS total_fetched, CAST(sum(run) AS BIGINT) AS total_blocked, CAST(max_by(run, island) AS BIGINT) AS consecutive_failures, CAST(max(run) AS BIGINT) AS max_run, max(run) >= 2 AS ever_tripped FROM r GROUP BY domain"""
-    out["domain_breaker"] = (lambda s, d: frontier.breaker(_events(s, d).select("domain", "ts", "id", (F.col("kind") == "blocked").alias("blocked")), trip=2).select("domain", "total_fetched", "total_blocked", "consecutive_failures", "max_run", "ever_tripped"), runs)
+    out["domain_breaker"] = (lambda s, d: frontier.breaker(_events(s, d).select("domain", "ts", "id", (F.col("kind") == "blocked").alias("blocked")), trip=2).select("domain", "total_fetched", "total_blocked", "consecutive_failures", "max_run", "ever_tripped"), islands)
     for name, sql, own in (
         ("mon_success", "SELECT count(*) FILTER (WHERE kind = 'fetch_started') AS started, count(*) FILTER (WHERE kind = 'saved') AS saved, count(*) FILTER (WHERE kind = 'blocked') AS blocked, round(CAST(100 AS DOUBLE) * count(*) FILTER (WHERE kind = 'saved') / nullif(count(*) FILTER (WHERE kind = 'fetch_started'), 0), 1) AS success_pct FROM e", None),
         ("mon_blocked", "SELECT domain, count(*) AS blocked FROM e WHERE kind = 'blocked' GROUP BY domain", None),
@@ -116,6 +112,7 @@ def build() -> dict:
     depth = "SELECT status, count(*) AS n FROM q GROUP BY status"
     out["mon_queue_depth"] = (lambda s, d: _queue(s, d).groupBy("status").agg(F.count("*").alias("n")), f"WITH {QUEUE} {depth}")
     out["mon_lang"] = (lambda s, d: docs(s, d).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("avg_chars")), "SELECT lang, count(*) AS n, round(avg(n_chars), 3) AS avg_chars FROM documents GROUP BY lang")
+    out |= monitoring.build(_events, _queue, EVENTS, QUEUE) | runs.build(_events, _queue, at, now, EVENTS, QUEUE, AS_OF, NOW)
     return out
 
 
