@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, langid, linededup, lm, mixing, quality, simhash, tokens, topk, urlfilter
 from tidemill.llm.eliasfano import EliasFano, open_mapped, pack, put
@@ -322,6 +323,27 @@ def test_quality_em_recovers_accuracies_and_edges(spark):
     assert quality.classify(frame(spark, [])).count() == 0
 
 
+def test_quality_learns_toxic_marks_from_labels(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(300)]
+    data, labels = [], []
+    for i in range(240):
+        words = [rng.choice(plain) for _ in range(120)]
+        if i % 4 == 0:
+            for _ in range(5):  # one of many endings: only their beginning is the same
+                words[rng.randrange(120)] = "zwqx" + rng.choice(plain)
+        data.append((i, " ".join(words) + "."))
+        if i < 160:
+            labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame([*data, (None, "x"), (500, None), (0, data[0][1])], "doc_id long, text string").withColumn("__toxic", F.lit("clash"))
+    known = spark.createDataFrame([*labels, (None, 1), (3, None), (9999, 1)], "doc_id long, toxic int")
+    said = {r.doc_id: r.toxic for r in quality.classify(docs, labels=known).collect()}
+    fresh = [i for i in range(160, 240)]
+    assert all(said[i] for i in fresh if i % 4 == 0) and sum(said[i] for i in fresh if i % 4) <= 1
+    assert quality.learn_marks(docs, known.limit(0)) is None and quality.learn_marks(docs, known.where("toxic = 0")) is None and quality.learn_marks(docs.limit(0), known) is None
+    assert not any(r.toxic for r in quality.classify(docs.where("doc_id >= 160"), labels=known.limit(0)).collect())
+
+
 # --- url filters
 
 URLS = ["http://a.com/x", "https://WWW.Example.com/en/1?q", "http://example.com/en/", "http://m.example.com/en", "http://notexample.com/en/x", "http://x.net/es/1", "x.net/es/1", None, "", "http://", "://com/", "http://com", "ftp://net/fr/#a/b", "http://a.net?x=/es/", "http://spam-farm.org/", "http://spam-farm.com/", "http://a.org/Cheap-Pills/x", "http://a.org/cheap-pillsx", "http://a.org/?u=casino", "http://a.com//en/", "http://www.example.com/en/a b", "http://u@b.net/fr/x", "http://net:80/es/", "a://b://c.net/es/"]

@@ -5,10 +5,15 @@ over the counts of their vote patterns estimates how far each can be trusted,
 and a posterior for each pattern; the posteriors train a hashed linear scorer
 on the text itself. Patterns are few (three votes to the power of the
 labellers), so the estimate covers all documents at a bounded size.
+
+Toxic texts are told by a list of insults and, where labels are given, by
+marks learned from a bounded sample of labelled rows: words and word beginnings
+far more frequent in toxic texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, materialize
 from .linear import features, logistic, margin, sigmoid
 
 #: Frequent function words of the corpus languages.
@@ -91,11 +96,97 @@ def pattern(text: str) -> int:
     return sum(v * 3**i for i, v in enumerate(votes(raw, raw.split())))
 
 
-def insults(text: str) -> tuple[int, int]:
-    words = text.lower().encode().split()
+def insults(words: list[bytes]) -> tuple[int, int]:
     return sum(map(INSULTS.__contains__, (w.strip(EDGES) for w in words))), len(words)
 
 
+#: Hashed marks; texts that a mark must occur in; log ratio of its rates from which it counts, and its greatest weight;
+#: words added to a text's length, so that short texts need more; share of clean sampled texts that may be caught.
+MARKS, MARK_TEXTS, MARK_RATIO, MARK_MOST, MARK_WORDS, FALSE_ALARMS = 1 << 16, 5, 3.0, 6.0, 20, 0.003
+#: Rates of marks are summed as whole numbers of this size, so the order of summing doesn't matter.
+RATE_UNIT = 10**9
+#: Words of so many are remembered by a task, then forgotten together.
+MEMO = 500_000
+
+
+def mark_keys(word: bytes) -> set[int]:
+    """Hashes of a word and of its first 4, 5 and 6 letters."""
+    w = word.strip(EDGES).decode("utf-8", "ignore")
+    return {zlib.crc32(k.encode()) % MARKS for k in (w, *(w[:n] + "_" for n in (4, 5, 6)))} if w else set()
+
+
+class MarkWeights(dict):
+    """Greatest weight among a word's marks, 0 without any; worked out on first sight."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = w = max((self.weights.get(k, 0.0) for k in mark_keys(word)), default=0.0)
+        return w
+
+
+def mark_score(words: list[bytes], memo: MarkWeights) -> float:
+    """Weight of the marked words by length of the text; a single marked word says nothing."""
+    found = [w for w in map(memo.__getitem__, words) if w]
+    return sum(found) / (len(words) + MARK_WORDS) if len(found) > 1 else 0.0
+
+
+def learn_marks(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[int, float], float] | None:
+    """Weights of the marks and the score above which a text is toxic; None without both toxic and clean labelled texts.
+
+    Fitted on the texts of about `sample` labelled ids, chosen by a hash; an id
+    labelled both ways counts as toxic. Null ids, labels and texts take no
+    part. What reaches the driver is a sum for each of at most MARKS hashes.
+    """
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    known = labels.select(F.col(label_id).alias("__id"), F.col(label_col).cast("int").alias("__toxic")).where("__id is not null and __toxic is not null").groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
+    total = known.count()
+    if not total:
+        return None
+    # About `sample` rows of an id and a flag: small enough to be sent to all.
+    picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < min(1.0, sample / total) * float(1 << 30))
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    rows = materialize(rows.select("text", (F.col("__toxic") > 0).alias("toxic")), "toxic-sample")
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not (n.get(True) and n.get(False)):
+        return None
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, MARKS), np.int64)
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = text.as_py().lower().encode().split()
+                counts: Counter = Counter()
+                for w, k in Counter(words).items():
+                    for key in mark_keys(w):
+                        counts[key] += k
+                if counts:
+                    at = np.fromiter(counts, np.int64, len(counts))
+                    sums[0 if toxic else 1, at] += np.fromiter(counts.values(), np.int64, len(counts)) * RATE_UNIT // len(words)
+                    sums[2, at] += toxic
+        keys = np.flatnonzero(sums[:2].any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[keys]) for x in sums)], ["key", "bad", "good", "texts"])
+
+    got = rows.mapInArrow(rates, "key long, bad long, good long, texts long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("texts").alias("texts"))
+    ratio = F.log((F.col("bad") / (n[True] * RATE_UNIT) + 1e-5) / (F.col("good") / (n[False] * RATE_UNIT) + 1e-5))
+    got = got.where(F.col("texts") >= MARK_TEXTS).select("key", ratio.alias("ratio")).where(F.col("ratio") > MARK_RATIO)
+    weights = {r["key"]: min(r["ratio"], MARK_MOST) for r in got.collect()}
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = MarkWeights(weights)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([mark_score(t.as_py().lower().encode().split(), memo) for t in batch.column(0)], pa.float64())], ["score"])
+
+    clean = rows.where("not toxic").select("text").mapInArrow(scores, "score double")
+    # However clean the sample, a marked word in more than TOXIC_WORDS others says nothing.
+    return weights, max(clean.agg(F.percentile("score", F.lit(1 - FALSE_ALARMS))).first()[0], MARK_RATIO / TOXIC_WORDS)
+
+
 def fit(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
     """Posterior of good by pattern, P(bad vote | class, a vote) by class and labeller, and the classes' shares.
 
@@ -136,13 +227,13 @@ def scorer_features(text: str) -> np.ndarray:
     return features(raw) * np.float32(min(1.0, len(raw) / SHORT))
 
 
-def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, pattern, posterior, score, toxic, keep.
 
     posterior is the labellers' verdict, score the linear scorer's (both 0 to
     1); toxic: two insults, or one in a text of at most
-    TOXIC_WORDS words; keep: score of
-    0.5 or more and not toxic. Null texts and texts without words score 0 and
+    TOXIC_WORDS words, or marks learned from labels (doc_id, toxic) where they
+    are given; keep: score of 0.5 or more and not toxic. Null texts and texts without words score 0 and
     aren't kept. Equal texts get equal results; repeated rows give repeated
     rows; an empty table gives an empty result; other columns aren't looked at.
     """
@@ -177,11 +268,13 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             x = np.stack([np.frombuffer(b, np.float16) for _, b in got]).astype(np.float32)
             p = np.array([posterior[k] for k, _ in got], np.float32)
             weights = logistic(x, p)
-    sent = spark.sparkContext.broadcast((posterior, weights))
+    marks = None if labels is None else learn_marks(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
+    sent = spark.sparkContext.broadcast((posterior, weights, marks))
     kind = bare.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, weights = sent.value
+        posterior, weights, marks = sent.value
+        memo, limit = (MarkWeights(marks[0]), marks[1]) if marks else (None, 0.0)
         for batch in batches:
             out = []
             for t in batch.column(1):
@@ -190,10 +283,12 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     out.append((None, 0.0, 0.0, False))
                     continue
                 k = pattern(s)
-                bad, n = insults(s)
+                low = s.lower().encode().split()
+                bad, n = insults(low)
+                marked = memo is not None and mark_score(low, memo) > limit
                 p = posterior.get(k, 0.5)
                 score = p if weights is None else float(sigmoid(margin(weights, scorer_features(s))))
-                out.append((k, p, score, bad >= 2 or bad * TOXIC_WORDS >= max(n, 1)))
+                out.append((k, p, score, marked or bad >= 2 or bad * TOXIC_WORDS >= max(n, 1)))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "pattern", "posterior", "score", "toxic"])

@@ -41,7 +41,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"))
+    return quality.classify(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
