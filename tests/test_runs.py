@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 from tidemill.functions.urls import sitemap_priority
 from tidemill.operators import dedup, discovery, frontier, outcome
 from tidemill.plans import monitoring
+from tidemill.sources import sinks
 from tidemill.streaming import crawl_log
 
 AT = "2024-02-01 00:00:00"
@@ -171,3 +172,16 @@ def test_monitoring_details(spark):
     q = spark.createDataFrame([("u", "pending", 1, 3), ("u", "odd", 5, 3), ("v", None, 0, 3)], "url string, status string, attempts int, max_attempts int")
     assert tuple(monitoring.constraint_violations(q).first()) == (2, 1, 1)
     assert tuple(monitoring.constraint_violations(q.limit(0)).first()) == (0, 0, 0)
+
+
+def test_settle_and_sinks(spark, done, tmp_path):
+    q = spark.createDataFrame([(1, "in_progress", "old", None), (2, "in_progress", None, "a2"), (3, "pending", None, None)], "id long, status string, last_error string, article_id string")
+    new = spark.createDataFrame([(1, "done", None, "a1"), (2, "skipped", "why", None)], q.schema)
+    assert sorted(map(tuple, frontier.settle(q, new).collect())) == [(1, "done", "old", "a1"), (2, "skipped", "why", "a2"), (3, "pending", None, None)]
+    for _ in range(2):
+        sinks.json_lines(outcome.articles(done, F.lit(AT).cast("timestamp")), f"{tmp_path}/articles")
+        sinks.stats(outcome.summary(done), f"{tmp_path}/stats")
+        sinks.append(outcome.events(done), f"{tmp_path}/events")
+    lines = spark.read.json(f"{tmp_path}/articles")
+    assert lines.count() == 3 and "author" in lines.columns and spark.read.json(f"{tmp_path}/stats").first().total_fetched == 12
+    assert spark.read.parquet(f"{tmp_path}/events").count() == 2 * outcome.events(done).count()

@@ -42,6 +42,15 @@ def defer(queue: DataFrame, as_of: Column, seconds: int) -> DataFrame:
     return queue.withColumn("status", F.lit("pending")).withColumn("next_attempt_at", F.timestamp_seconds(F.unix_timestamp(as_of) + seconds))
 
 
+def settle(queue: DataFrame, results: DataFrame) -> DataFrame:
+    """queue with the status of results (id, status, last_error, article_id); a null error or article leaves what was there."""
+    new = results.select(*(F.col(c).alias(f"__{c}") for c in ("id", "status", "last_error", "article_id")))
+    out = queue.join(new, queue["id"] == new["__id"], "left").withColumn("status", F.coalesce("__status", "status"))
+    for c in ("last_error", "article_id"):
+        out = out.withColumn(c, F.coalesce(f"__{c}", c))
+    return out.select(*queue.columns)
+
+
 def recrawl(queue: DataFrame, articles: DataFrame, as_of: Column) -> DataFrame:
     """Done rows whose article is older than its kind's window (news 6 h, blog 48 h, wiki 168 h, else 24 h), pending again."""
     kind = articles.select(F.col("id").alias("article_id"), "content_type", "crawled_at")
