@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import neardup
 from .common import arrow_rows, materialize, text_key
 
 #: Candidates that share a variant are compared pair by pair up to so many, and by growing trees beyond.
@@ -36,12 +37,16 @@ class Scheme:
     segment_bits: int = 32
     distance: int = 3
 
+    def __post_init__(self):
+        if 2 * self.segments <= self.distance:
+            raise ValueError("too few segments: pairs with two differing bits in each would be missed")
+
 
 #: Two segments of 32 bits find every pair that differs in 3 bits or fewer.
 BITS_3 = Scheme()
-#: Five-word shingles and a similarity of 0.8: a cosine of 0.89, which SimHash turns into about 19 of 128 differing
-#: bits, give or take 4. Seven segments of 18 bits; 22 bits link, so that most pairs at 0.8 are below the limit.
-SIMILAR_08 = Scheme(shingle=5, width=2, segments=7, segment_bits=18, distance=22)
+#: Five-word shingles and a Jaccard similarity of 0.8. SimHash can't promise it: such a pair differs in 19 +/- 4 of 128
+#: bits, and with segments enough to find them all each segment would have about 8 bits, which chance pairs share too.
+SIMILAR_08 = neardup.Similar()
 
 
 def fingerprint(text: str | None, scheme: Scheme = BITS_3) -> np.ndarray:
@@ -246,9 +251,13 @@ def groups(docs: DataFrame, scheme: Scheme = BITS_3, *, id_col: str = "doc_id",
     return own.join(member, own["fingerprint"] == member["m_fp"]).select("doc_id", "h", "fingerprint", "component_id")
 
 
-def dedup(docs: DataFrame, scheme: Scheme = SIMILAR_08, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, scheme: Scheme | neardup.Similar = SIMILAR_08, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of smallest id of each group (null ids last, then by text hash), all columns kept."""
-    member = materialize(groups(docs, scheme, id_col=id_col, text_col=text_col), "groups")
+    if isinstance(scheme, neardup.Similar):
+        member = neardup.groups(docs, scheme, components, id_col=id_col, text_col=text_col)
+    else:
+        member = groups(docs, scheme, id_col=id_col, text_col=text_col)
+    member = materialize(member, "groups")
     # Rows without any id to their group are told apart by their fingerprint.
     w = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy(F.col("doc_id").asc_nulls_last(), "h")
     times = member.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "n")
