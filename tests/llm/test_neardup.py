@@ -49,3 +49,28 @@ def test_every_pair_at_exactly_the_limit_is_found(spark):
 def test_a_simhash_scheme_without_its_guarantee_is_refused():
     with pytest.raises(ValueError):
         simhash.Scheme(width=2, segments=7, segment_bits=18, distance=22)
+
+
+@pytest.mark.parametrize("tail", [11, 14, 20])
+def test_no_pair_below_the_limit_is_merged(spark, tail):
+    docs = pairs_with_tail(random.Random(tail), 100, tail)
+    assert kept(spark, docs) == by_hand(docs) == list(range(200))
+
+
+@pytest.mark.parametrize("centres", [0, 1, 4])
+def test_large_groups_and_chains_match_all_pairs(spark, monkeypatch, centres):
+    monkeypatch.setattr(neardup, "CENTRES", centres)
+    rng = random.Random(centres)
+    docs, n = [], 0
+    for size, edits in ((40, 1), (40, 3), (25, 6)):  # copies of one text, near it but less near each other
+        base = words(rng, 120)
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(120), rng.randint(0, edits)):
+                w[at] = words(rng, 1)[0]
+            docs.append((n, " ".join(w)))
+            n += 1
+    chain = words(rng, 160)
+    docs += [(n + i, " ".join(chain[4 * i : 4 * i + 94])) for i in range(15)]  # each near the next only
+    rng.shuffle(docs)
+    assert kept(spark, docs) == by_hand(docs)
