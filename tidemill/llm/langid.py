@@ -37,6 +37,8 @@ FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 #: Labelled texts that the classifier is fitted on, about, spread evenly over the languages.
 SAMPLE = 3000
 LETTER = re.compile(r"[^\W\d_]")
+#: Fewer letters are too few to say that a text is in none of the languages.
+JUDGED_LETTERS = 30
 #: ASCII other than letters becomes a space.
 LETTERS_ONLY = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -60,6 +62,8 @@ class Discriminator:
         self.families = {f: [n for n in names if FAMILY.get(n, n) == f] for f in sorted(set(family))}
         self.machines = {pair: self._fit(x, family, *pair) for pair in itertools.combinations(self.families, 2)}
         self.within = {f: {pair: self._fit(x, y, *pair) for pair in itertools.combinations(own, 2)} for f, own in self.families.items()}
+        means = np.stack([x[y == n].mean(0) for n in names])
+        self.centres = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, a: str, b: str) -> np.ndarray:
@@ -81,6 +85,10 @@ class Discriminator:
         duel = worst[np.arange(len(x)), best]
         return best, np.where(np.isinf(duel), 1.0, sigmoid(3 * duel))
 
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """Cosine to the nearest mean of a learned language: low for texts that are in none of them."""
+        return (x @ self.centres.T).max(1)
+
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         names = list(self.families)
         fam, p = self._choose(names, self.machines, x)
@@ -116,29 +124,35 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Discriminator([a for a, _ in got], np.stack([np.frombuffer(x, np.float16) for _, x in got]).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Discriminator | None, *, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and a score between 0 and 1.
+def identify(docs: DataFrame, model: Discriminator | None, *, text_col: str = "text", out: str = "lang_pred", score: str = "score", likeness: str | None = None) -> DataFrame:
+    """docs with the predicted language, a score between 0 and 1 and, if named, the likeness to the nearest learned language.
 
-    A null text, one without letters, or no model: `und` with score 0. Only the
+    The likeness is null for texts of fewer than JUDGED_LETTERS letters. A null text, one without letters, or no model: `und` with score 0. Only the
     text is looked at; equal texts get equal results; all columns are kept.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(out, StringType()), StructField(score, DoubleType())])
+    extra = [StructField(likeness, DoubleType())] if likeness else []
+    schema = StructType([*docs.schema.fields, StructField(out, StringType()), StructField(score, DoubleType()), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            langs, scores, likes = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [None] * batch.num_rows
             texts = batch.column(at)
             for s in range(0, batch.num_rows, 256):
                 part = [(s + i, t) for i, v in enumerate(texts[s : s + 256]) if (t := v.as_py()) and LETTER.search(t)]
                 if part and model is not None:
-                    pred, p = model.predict(np.stack([features_of(t) for _, t in part]))
+                    x = np.stack([features_of(t) for _, t in part])
+                    pred, p = model.predict(x)
                     for (i, _), a, b in zip(part, pred, p, strict=True):
                         langs[i], scores[i] = a, b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*batch.schema.names, out, score])
+                    if likeness:
+                        for (i, t), c in zip(part, model.likeness(x).tolist(), strict=True):
+                            likes[i] = c if next(itertools.islice(LETTER.finditer(t), JUDGED_LETTERS - 1, None), None) else None
+            more = [pa.array(likes, pa.float64())] if likeness else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores), *more], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
