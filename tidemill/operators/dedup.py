@@ -27,7 +27,8 @@ from ..tables import written
 BANDS, ROWS = 9, 13
 CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 PRIME = (1 << 31) - 1
-_A, _B = ((np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(k)) % np.uint64(PRIME) for k in (1103515245, 862048943))
+#: Fixed draws, independent of each other; multiples of one pair would make the functions' minima go together.
+_A, _B = (np.array([1 + xxhash.xxh64_intdigest(f"{k}{i}".encode(), 7) % (PRIME - 1) for i in range(BANDS * ROWS)], np.uint64) for k in "ab")
 
 
 def windows(text: str) -> set[str]:
