@@ -8,16 +8,15 @@ triples of the letters of the whole text.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_rows
 from .linear import features, margin, sigmoid, svm
 
 #: Families of language codes; a code that isn't listed is a family of its own.
@@ -36,7 +35,7 @@ FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 #: Labelled texts that the classifier is fitted on, about, spread evenly over the languages.
 SAMPLE = 3000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Fewer letters are too few to say that a text is in none of the languages.
 JUDGED_LETTERS = 30
 #: ASCII other than letters becomes a space.
@@ -104,7 +103,6 @@ class Discriminator:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Discriminator | None:
     """Fitted on about `sample` rows that have a text and a language, chosen by a hash, as many of each language; None without any."""
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -131,7 +129,6 @@ def identify(docs: DataFrame, model: Discriminator | None, *, text_col: str = "t
     text is looked at; equal texts get equal results; all columns are kept.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     extra = [StructField(likeness, DoubleType())] if likeness else []
