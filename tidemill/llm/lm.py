@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, scratch
+from .common import materialize, scratch
 from .eliasfano import EliasFano, discard, exists, open_mapped, pack, put
 
 DISCOUNT = 0.75
@@ -147,7 +147,6 @@ def train(docs: DataFrame, *, text_col: str = "text") -> tuple[str, dict]:
     Counts cover every training text; nothing is pruned.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     folder = scratch(spark, "trie")
     texts = docs.select(F.col(text_col).alias("text"))
 
@@ -307,7 +306,6 @@ def score(docs: DataFrame, folder: str, head: dict, *, id_col: str = "doc_id", t
     Words outside the vocabulary have probability 1 / (N + V + 1) and as
     contexts say nothing about what follows. Repeated rows give repeated rows.
     """
-    arrow_rows(docs.sparkSession)
     bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = bare.schema["doc_id"].dataType
     sent = docs.sparkSession.sparkContext.broadcast(head)

@@ -18,7 +18,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
 
 #: White space by its Unicode property, as the vocabulary's cutting pattern means it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -113,7 +112,6 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     read by the driver and broadcast: its size is fixed, some 50,000 merges.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     model = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
