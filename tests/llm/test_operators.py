@@ -66,7 +66,9 @@ def contaminated_by_hand(docs, items, size=13, share=20):
     return sorted(out, key=repr)
 
 
-def test_decontaminate_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_decontaminate_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     rng = random.Random(1)
     for trial in range(3):
         items = [(i, sentence(rng, rng.randint(1, 30), "ab")) for i in range(8)] + [(9, None), (None, "a b"), (10, ""), (11, "Über den ÄRA")]
@@ -88,6 +90,20 @@ def test_decontaminate_empty_tables_and_filter(spark):
     assert sorted(map(repr, (r.doc_id for r in left.collect()))) == sorted(map(repr, [3, 4, 5, None, 6, 7, 8]))
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_decontaminate_finds_a_passage_in_a_long_text(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    rng = random.Random(5)
+    item, other = sentence(rng, 40), sentence(rng, 5)
+    long = [sentence(rng, 2000) for _ in range(4)]
+    part = lambda text, n: " ".join(text.split()[3 : 3 + n])
+    docs = [(1, f"{long[0]} {part(item, 13).upper()}, {long[1]}"), (2, f"{long[0]} {part(item, 12)} {long[1]}"), (3, f"{long[2]} {other} {long[3]}"), (4, long[1]), (5, f"{part(item, 20)} {sentence(rng, 20_000)}")]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(frame(spark, rows(*docs)), bench).collect()) == [2, 4]
+    # The operator's own verdict goes by share of the words: these few are under a twentieth.
+    assert not any(r.contaminated for r in decontaminate.contamination(frame(spark, rows(*docs)), bench).collect())
+
+
 # --- line dedup
 
 

@@ -18,8 +18,8 @@ from .common import lower_ascii, materialize, text_key
 ITEM_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Letters of either case make the same words, so counting needs no lower-casing.
 ITEM_WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Up to so many words the prefix side is broadcast (well under 50 MB); beyond, both sides are shuffled.
-BROADCAST_WORDS = 400_000
+#: Up to so many words or windows that side is broadcast (some 40 and 200 bytes each); beyond, both sides are shuffled.
+BROADCAST_WORDS, BROADCAST_WINDOWS = 400_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -70,25 +70,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = 13) -> tuple[Data
         .where("have = n")
     )
     prefix = materialize(rarest.join(wins, "win_id").select("win_id", "win", "p.word", "p.off"), "prefix")
-    keys = materialize(prefix.select("word").distinct(), "prefix-words")
-    places = _by_word(_tokens(docs), keys, keys.count()).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("places"))
-    places = materialize(places.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "places"), "candidates")
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text")
+    s, n_win = F.col("pos") - F.col("off"), F.size("win")
+    if prefix.count() <= BROADCAST_WINDOWS:
+        # Each word meets the windows filed under it beside its own text, so no text is moved.
+        placed = keyed.select("doc_id", "h", words(F.col("text")).alias("w")).select("doc_id", "h", "w", F.posexplode("w").alias("pos", "word"))
+        ctx = placed.join(F.broadcast(prefix), "word").withColumns({"ctx": F.col("w"), "n_words": F.size("w"), "from": F.lit(0)})
+    else:
+        ctx = _contexts(keyed, prefix, size).join(prefix, "word")
+    found = (
+        ctx.where((s >= 0) & (s + n_win <= F.col("n_words")))
+        .where(F.slice("ctx", s - F.col("from") + 1, n_win) == F.col("win"))
+        .select("doc_id", "h", s.alias("s"), (s + n_win).alias("e"), "win_id")
+    )
+    return found.distinct(), links
+
+
+def _contexts(keyed: DataFrame, prefix: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h, n_words, pos, word, from, ctx): the words around each place where a prefix word stands."""
+    heads = materialize(prefix.select("word").distinct(), "prefix-words")
+    places = _by_word(_tokens(keyed), heads, heads.count()).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("places"))
+    places = materialize(places.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "places"), "candidates")
     around = keyed.join(places, keyed["doc_id"].eqNullSafe(places["c_id"]) & (keyed["h"] == places["c_h"])).select("doc_id", "h", words(F.col("text")).alias("w"), "places")
     first = lambda p: F.greatest(p - (size - 1), F.lit(0))
-    ctx = around.select(
+    return around.select(
         "doc_id", "h", F.size("w").alias("n_words"),
         F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.element_at("w", p + 1).alias("word"), first(p).alias("from"), F.slice("w", first(p) + 1, 2 * size - 1).alias("ctx")))).alias("c"),
     ).select("doc_id", "h", "n_words", "c.*")
-    s, n_win = F.col("pos") - F.col("off"), F.size("win")
-    return (
-        ctx.join(prefix, "word")
-        .where((s >= 0) & (s + n_win <= F.col("n_words")))
-        .where(F.slice("ctx", s - F.col("from") + 1, n_win) == F.col("win"))
-        .select("doc_id", "h", s.alias("s"), (s + n_win).alias("e"), "win_id")
-        .distinct(),
-        links,
-    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, share: int = 20) -> DataFrame:
@@ -120,8 +128,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, share: int = 20) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns kept."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, size=size, share=share).where("contaminated")
-    bad = materialize(bad.select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h")).distinct(), "contaminated")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, all columns kept.
+
+    However long a document is, one passage of the benchmark is enough for it
+    to go. Null and empty texts stay; an empty benchmark leaves all; rows that
+    share an id but not the text are judged each by its own text.
+    """
+    bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    occ, _ = hits(bare, benchmark, size=size)
+    bad = materialize(occ.select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h")).distinct(), "contaminated")
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]) & (text_key(docs[text_col]) == bad["__bad_h"]), "left_anti")
