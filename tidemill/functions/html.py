@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import text as T
 from .urls import classify_url, netloc, raw_path
@@ -13,6 +18,12 @@ PAGE_TYPES = ("NewsArticle", "Article", "BlogPosting", "TechArticle", "Scholarly
 META_TYPES = ("NewsArticle", "Article", "BlogPosting", "TechArticle", "ScholarlyArticle")
 JSONLD = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 MIN_BODY = 200
+HREF = re.compile(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']""")
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), value worked out once however often use names it: the array of one binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def attr(tag: Column, name: str) -> Column:
@@ -90,7 +101,7 @@ def body_text(html: Column) -> Column:
     out = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<article[^>]*>(.*)</article>", 1), F.lit("")), html)
     for pattern, by in BODY_STEPS:
         out = F.regexp_replace(out, pattern, by)
-    return F.when(F.length(out) >= MIN_BODY, out)
+    return _once(out, lambda b: F.when(F.length(b) >= MIN_BODY, b))
 
 
 def classify_page(html: Column, url: Column) -> Column:
@@ -104,20 +115,41 @@ def classify_page(html: Column, url: Column) -> Column:
     return F.when(first.isNotNull(), out(F.concat(F.lit("schema_org:"), first))).when(F.contains(og, F.lit("article")), out(F.lit("og_type_article"))).otherwise(classify_url(url))
 
 
-def extract(html: Column, url: Column, as_of: Column) -> dict[str, Column]:
-    """Columns of an article, metadata merged in the order body, JSON-LD, OpenGraph (summary: body, OpenGraph, JSON-LD)."""
+def extract(html: Column, url: Column, as_of: Column) -> Column:
+    """Struct of an article, metadata merged in the order body, JSON-LD, OpenGraph (summary: body, OpenGraph, JSON-LD).
+
+    Body, JSON-LD, OpenGraph and headings are each found once; all else follows from them.
+    """
     full = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
-    ld, og = jsonld_meta(html), og_map(html)
-    get = lambda k: F.get_json_object(ld, f"$.{k}")
-    body, heads = body_text(html), headings(html)
-    name, who, when = full(title(html), get("headline"), og["title"]), full(author(ld), og["author"]), full(get("datePublished"), get("dateModified"))
-    lang = F.coalesce(F.lower(F.substring(full(get("inLanguage"), html_lang(html)), 1, 2)), T.detect_language(body))
-    q = T.quality(body, name, who, when, heads, lang, as_of)
-    return {
-        "canonical_url": F.nullif(canonical_url(html, url), url), "title": name, "author": who, "publish_date": when, "language": lang,
-        "summary": full(og["description"], get("description")), "main_text": body, "headings": heads, "source_domain": netloc(url),
-        "quality_score": q["score"], "content_type": content_type(url, F.get_json_object(ld, "$.@type")), "quality_reasons": q["reasons"],
-    }
+
+    def merge(r):
+        ld, og, body = r["ld"], r["og"], r["body"]
+        get = lambda k: F.get_json_object(ld, f"$.{k}")
+        lang = F.coalesce(F.lower(F.substring(full(get("inLanguage"), r["lang"]), 1, 2)), T.detect_language(body))
+        return F.struct(
+            F.nullif(r["canonical"], url).alias("canonical_url"), full(r["title"], get("headline"), og["title"]).alias("title"), full(author(ld), og["author"]).alias("author"),
+            full(get("datePublished"), get("dateModified")).alias("publish_date"), lang.alias("language"), full(og["description"], get("description")).alias("summary"),
+            body.alias("main_text"), r["headings"].alias("headings"), netloc(url).alias("source_domain"), content_type(url, F.get_json_object(ld, "$.@type")).alias("content_type"),
+        )
+
+    def score(a):
+        q = T.quality(*(a[k] for k in ("main_text", "title", "author", "publish_date", "headings", "language")), as_of)
+        names = "canonical_url title author publish_date language summary main_text headings source_domain content_type".split()
+        return _once(q, lambda v: F.struct(*(a[k].alias(k) for k in names), v["score"].alias("quality_score"), v["reasons"].alias("quality_reasons")))
+
+    found = F.struct(jsonld_meta(html).alias("ld"), og_map(html).alias("og"), body_text(html).alias("body"), headings(html).alias("headings"), html_lang(html).alias("lang"), title(html).alias("title"), canonical_url(html, url).alias("canonical"))
+    return _once(_once(found, merge), score)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def resolved_links(html: pd.Series, url: pd.Series) -> pd.Series:
+    """The older engine's links of a page to its own host: every reference resolved against the page's address."""
+
+    def own(page, base):
+        out = [urljoin(base, h.strip()) for h in HREF.findall(page or "")] if base else []
+        return [u for u in out if urlsplit(u).netloc == urlsplit(base).netloc]
+
+    return pd.Series([own(*x) for x in zip(html, url, strict=True)])
 
 
 def links(html: Column, url: Column) -> Column:

@@ -38,12 +38,13 @@ NON_LATIN = r"[\x{0400}-\x{04FF}\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0900}-\x{09
 
 JUNK = "/(" + "|".join(dict.fromkeys(JUNK_WORDS)) + ")s?(/|$)"
 HINT = "/(" + "|".join(dict.fromkeys(HINT_WORDS)) + ")(/|$|-)"
+ANY_PATH = r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)(?:\?([^#]*))?"
 SPLIT = r"^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def netloc(url: Column) -> Column:
     """Host with port and user as written."""
-    return F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1)
+    return F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)
 
 
 def raw_path(url: Column) -> Column:
@@ -80,12 +81,13 @@ def normalize_url(url: Column) -> Column:
     u = F.trim(F.coalesce(url, F.lit("")))
     u = F.when(F.instr(u, "://") > 0, u).otherwise(F.concat(F.lit("https://"), u))
     host_port = F.regexp_replace(netloc(u), "^.*@", "")
-    host = F.regexp_replace(F.lower(F.substring_index(host_port, ":", 1)), r"^www\.", "")
-    port = F.regexp_extract(host_port, r":0*([0-9]+)$", 1)
+    # An address in brackets has colons of its own.
+    host = F.regexp_replace(F.lower(F.regexp_extract(host_port, r"^(?:\[([^\]]*)\]?)", 1)), "^$", F.regexp_replace(F.lower(F.regexp_extract(host_port, r"^([^:\[]*)", 1)), r"^www\.", ""))
+    port = F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*):0*([0-9]+)$", 1)
     port = F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port))
-    pairs = F.array_sort(F.filter(query_pairs(raw_query(u)), lambda p: ~F.lower(p["k"]).isin(STRIP_PARAMS)))
+    pairs = F.array_sort(F.filter(query_pairs(F.regexp_extract(u, ANY_PATH, 2)), lambda p: ~F.lower(p["k"]).isin(STRIP_PARAMS)))
     query = F.array_join(F.transform(pairs, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
-    key = F.concat(F.lit("https://"), host, port, strip_alt_segments(raw_path(u)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    key = F.concat(F.lit("https://"), host, port, strip_alt_segments(F.regexp_extract(u, ANY_PATH, 1)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "").otherwise(key)
 
 
@@ -128,8 +130,8 @@ def sitemap_priority(url: Column) -> Column:
 
 
 def retry_backoff(attempts: Column) -> Column:
-    """Seconds to wait before attempt number attempts + 1."""
-    return F.lit(30).cast("long") * F.pow(F.lit(2), attempts).cast("long")
+    """Seconds to wait before attempt number attempts + 1; doubled thirty times at most, some thousand years."""
+    return F.lit(30).cast("long") * F.pow(F.lit(2), F.when(attempts > 30, 30).otherwise(attempts)).cast("long")
 
 
 def domain_list(text: Column) -> Column:

@@ -10,6 +10,7 @@ key that many rows share makes no pairs.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -51,7 +52,7 @@ def minhash_bands(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 out.append(None)
                 continue
             sh = windows(text)
-            h = np.unique(np.array([xxhash.xxh32_intdigest(s.encode()) % PRIME for s in sh], np.uint64))
+            h = np.unique(np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4], "big") % PRIME for s in sh], np.uint64))
             sig = np.full(BANDS * ROWS, PRIME, np.uint64)
             for i in range(0, len(h), 4096):
                 sig = np.minimum(sig, ((_A[:, None] * h[None, i : i + 4096] + _B[:, None]) % np.uint64(PRIME)).min(1))
@@ -105,3 +106,12 @@ def layered(docs: DataFrame, *, near: bool = True, existing: DataFrame | None =
     )
     origin = base.select(F.col("seq").alias("duplicate_of"), F.col("url_key").alias("original_key"))
     return out.join(origin, "duplicate_of", "left").select(*out.columns, "original_key")
+
+
+def statistics(articles: DataFrame) -> DataFrame:
+    """One row: distinct url keys, text hashes and titles with dates of articles (url, text, title, publish_date), and the texts indexed."""
+    title, date = norm_title(F.col("title")), norm_date(F.col("publish_date"))
+    return articles.agg(
+        F.count_distinct(normalize_url(F.col("url"))).alias("unique_urls"), F.count_distinct(F.sha2("text", 256)).alias("unique_content_hashes"),
+        F.count_distinct(F.when(title.isNotNull() & date.isNotNull(), F.concat_ws("\x1f", title, date))).alias("unique_title_dates"), F.count("text").alias("lsh_index_size"),
+    )

@@ -22,30 +22,47 @@ def claim(queue: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
     return due.orderBy(F.desc("priority"), "next_attempt_at", "id").limit(limit).withColumn("status", F.lit("in_progress")).withColumn("updated_at", as_of)
 
 
+def is_stale(as_of: Column, minutes: int = 10) -> Column:
+    return F.coalesce((F.col("status") == "in_progress") & (F.col("updated_at") < as_of - F.expr(f"INTERVAL {minutes} MINUTES")), F.lit(False))
+
+
+def _pending(queue: DataFrame, rows: Column, as_of: Column) -> DataFrame:
+    return queue.withColumns({"status": F.when(rows, "pending").otherwise(F.col("status")), "updated_at": F.when(rows, as_of).otherwise(F.col("updated_at"))})
+
+
 def reclaim(queue: DataFrame, as_of: Column, minutes: int = 10) -> DataFrame:
-    stale = (F.col("status") == "in_progress") & (F.col("updated_at") < as_of - F.expr(f"INTERVAL {minutes} MINUTES"))
-    return queue.withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
+    return _pending(queue, is_stale(as_of, minutes), as_of)
 
 
-def release(queue: DataFrame) -> DataFrame:
-    return queue.withColumn("status", F.when(F.col("status") == "in_progress", "pending").otherwise(F.col("status")))
+def release(queue: DataFrame, as_of: Column) -> DataFrame:
+    return _pending(queue, F.coalesce(F.col("status") == "in_progress", F.lit(False)), as_of)
 
 
-def fail(queue: DataFrame, as_of: Column) -> DataFrame:
-    """One more attempt: failed at the maximum, else pending after 30 s doubled for each attempt before."""
+def changed(queue: DataFrame, rows: Column) -> DataFrame:
+    """One row: how many rows a transition of `rows` changes."""
+    return queue.agg(F.count_if(rows).alias("changed"))
+
+
+def fail(queue: DataFrame, as_of: Column, error: Column | None = None) -> DataFrame:
+    """One more attempt: failed at the maximum, else pending after 30 s doubled for each attempt before; the error replaces the last one."""
     tried = F.col("attempts") + 1
     later = F.timestamp_seconds(F.unix_timestamp(as_of) + retry_backoff(F.col("attempts")))
-    return queue.withColumn("status", F.when(tried >= F.col("max_attempts"), "failed").otherwise("pending")).withColumn("next_attempt_at", later).withColumn("attempts", tried)
+    return queue.withColumns({
+        "status": F.when(tried >= F.col("max_attempts"), "failed").otherwise("pending"), "next_attempt_at": later, "attempts": tried,
+        "last_error": F.lit(None).cast("string") if error is None else error, "updated_at": as_of,
+    })
 
 
 def defer(queue: DataFrame, as_of: Column, seconds: int) -> DataFrame:
-    return queue.withColumn("status", F.lit("pending")).withColumn("next_attempt_at", F.timestamp_seconds(F.unix_timestamp(as_of) + seconds))
+    return queue.withColumns({"status": F.lit("pending"), "next_attempt_at": F.timestamp_seconds(F.unix_timestamp(as_of) + seconds), "updated_at": as_of})
 
 
-def settle(queue: DataFrame, results: DataFrame) -> DataFrame:
+def settle(queue: DataFrame, results: DataFrame, as_of: Column | None = None) -> DataFrame:
     """queue with the status of results (id, status, last_error, article_id); a null error or article leaves what was there."""
     new = results.select(*(F.col(c).alias(f"__{c}") for c in ("id", "status", "last_error", "article_id")))
     out = queue.join(new, queue["id"] == new["__id"], "left").withColumn("status", F.coalesce("__status", "status"))
+    if as_of is not None and "updated_at" in queue.columns:
+        out = out.withColumn("updated_at", F.when(F.col("__id").isNotNull(), as_of).otherwise(F.col("updated_at")))
     for c in ("last_error", "article_id"):
         out = out.withColumn(c, F.coalesce(f"__{c}", c))
     return out.select(*queue.columns)
@@ -73,14 +90,25 @@ def breaker(events: DataFrame, trip: int = 4, pause: int = 300) -> DataFrame:
     blocked_until is set if the last row is blocked and its run has come to
     `trip`; max_run and ever_tripped tell of earlier runs.
     """
-    w = Window.partitionBy("domain").orderBy("ts", "id")
-    island = F.sum((~F.col("blocked")).cast("int")).over(w)
-    runs = events.withColumn("island", island).groupBy("domain", "island").agg(
-        F.sum(F.col("blocked").cast("long")).alias("run"), F.count("*").alias("n"), F.max("ts").alias("last"))
-    out = runs.groupBy("domain").agg(
-        F.sum("n").alias("total_fetched"), F.sum("run").alias("total_blocked"), F.max_by("run", "island").alias("consecutive_failures"),
-        F.max("run").alias("max_run"), F.max("last").alias("last_fetch_at"),
+    # A domain's log is cut into days first, so no task orders a whole domain; a day tells its runs at either end and its longest.
+    day = F.to_date("ts")
+    w = Window.partitionBy("domain", "day").orderBy("ts", "id")
+    marked = events.withColumn("day", day).withColumn("island", F.sum((~F.col("blocked")).cast("int")).over(w))
+    runs = marked.groupBy("domain", "day", "island").agg(F.sum(F.col("blocked").cast("long")).alias("run"), F.count("*").alias("n"), F.max("ts").alias("last"))
+    days = runs.groupBy("domain", "day").agg(
+        F.sum("n").alias("n"), F.sum("run").alias("bad"), F.max_by("run", "island").alias("tail"), F.max(F.when(F.col("island") == 0, F.col("run"))).alias("lead"),
+        F.max("run").alias("most"), F.max("last").alias("last"), (F.sum("run") == F.sum("n")).alias("whole"),
+    )
+    # Days are joined in order: a run goes on where one day ends and the next begins, through days that are one run.
+    start = F.struct(F.lit(0).cast("long").alias("tail"), F.lit(0).cast("long").alias("most"))
+    step = lambda a, d: F.struct(
+        F.when(d["whole"], a["tail"] + d["tail"]).otherwise(d["tail"]).alias("tail"),
+        F.greatest(a["most"], d["most"], a["tail"] + F.coalesce(d["lead"], F.lit(0).cast("long"))).alias("most"),
     )
+    out = days.groupBy("domain").agg(
+        F.sum("n").alias("total_fetched"), F.sum("bad").alias("total_blocked"), F.max("last").alias("last_fetch_at"),
+        F.array_sort(F.collect_list(F.struct("day", "tail", "lead", "most", "whole"))).alias("days"),
+    ).withColumn("f", F.aggregate("days", start, step)).select("domain", "total_fetched", "total_blocked", F.col("f.tail").alias("consecutive_failures"), F.col("f.most").alias("max_run"), "last_fetch_at")
     until = F.when(F.col("consecutive_failures") >= trip, F.timestamp_seconds(F.unix_timestamp("last_fetch_at") + pause))
     return out.withColumn("blocked_until", until).withColumn("ever_tripped", F.col("max_run") >= trip)
 

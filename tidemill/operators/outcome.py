@@ -38,10 +38,10 @@ def process(items: DataFrame, as_of: Column, *, existing: DataFrame | None = Non
     rows = rows.withColumn("page", F.when(F.col("fetched") & ~F.col("blocked") & F.col("html").isNotNull(), F.col("html")))
     rows = rows.withColumn("c", F.when(F.col("page").isNotNull(), html.classify_page(F.col("page"), F.col("url"))))
     body = F.when(F.col("c.page_type") == "article", F.col("page"))
-    got = html.extract(body, F.col("url"), as_of)
+    rows = rows.withColumn("a", F.when(F.col("c.page_type") == "article", html.extract(F.col("page"), F.col("url"), as_of)))
     own = [c for c in items.columns if c not in ("html", "headers")]
     rows = rows.select(*own, "fetched", "blocked", "block_reason", F.col("page").isNotNull().alias("has_page"), "c.page_type", F.col("c.reason").alias("type_reason"),
-        *(got[k].alias(k) for k in ARTICLE), F.when(F.col("depth") < depth_limit, html.links(body, F.col("url"))).alias("links"))
+        *(F.col(f"a.{k}") for k in ARTICLE), F.when(F.col("depth") < depth_limit, html.links(body, F.col("url"))).alias("links"))
     good = F.col("main_text").isNotNull() & (F.col("quality_score") >= min_quality)
     rows = written(rows.withColumn("good", F.coalesce(good, F.lit(False))), "pages-read")
     title, date = (F.lit(None).cast("string"),) * 2 if legacy else (F.col("title"), F.col("publish_date"))
@@ -112,6 +112,11 @@ def is_candidate(url: Column) -> Column:
     return ~is_trap(url) & ~is_sitemap(url) & (classify_url(url)["page_type"] == "article")
 
 
+def is_spider_candidate(url: Column) -> Column:
+    """The older engine's rule: it takes sitemaps by their name too, if their address passes."""
+    return url.startswith("http") & ~is_trap(url) & (classify_url(url)["page_type"] == "article")
+
+
 def discovered(done: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """url, source_domain, depth, discovered_from, pos and inserted: links of saved pages whose key no page up to then had.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,15 +16,21 @@ def blocked(events: DataFrame) -> DataFrame:
     """Blocked pages by domain; reasons is a JSON array of the distinct ones, null among them if there is any, last."""
     reasons = F.array_sort(F.collect_set("reason"))
     reasons = F.when(F.count_if(F.col("reason").isNull()) > 0, F.concat(reasons, F.array(F.lit(None).cast("string")))).otherwise(reasons)
-    return events.where("kind = 'blocked'").groupBy("domain").agg(F.count("*").alias("blocked_count"), F.to_json(reasons).alias("reasons"))
+    return events.where("kind = 'blocked'").groupBy("domain").agg(F.count("*").alias("blocked_count"), F.to_json(reasons).alias("reasons")).orderBy(F.desc_nulls_first("blocked_count"), "domain")
 
 
 def duplicates_by_type(dups: DataFrame) -> DataFrame:
-    return dups.groupBy("dup_type").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 3).alias("avg_similarity"))
+    return dups.groupBy("dup_type").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 3).alias("avg_similarity")).orderBy(F.desc_nulls_first("n"), "dup_type")
 
 
 def quality_by_domain(articles: DataFrame) -> DataFrame:
-    return articles.groupBy("source_domain").agg(F.count("*").alias("articles"), F.round(F.avg("quality_score"), 3).alias("avg_quality"), F.count_if(F.col("quality_score") > 0.7).alias("high_quality"))
+    return articles.groupBy("source_domain").agg(F.count("*").alias("articles"), F.round(F.avg("quality_score"), 3).alias("avg_quality"), F.count_if(F.col("quality_score") > 0.7).alias("high_quality")).orderBy(F.desc_nulls_first("avg_quality"), "source_domain")
+
+
+def recent_failures(events: DataFrame, as_of: Column, hours: int = 2, limit: int = 50) -> DataFrame:
+    """The newest failures of the last hours, ties by id: id, ts, domain, kind, reason."""
+    failed = F.col("kind").isin("fetch_failed", "blocked", "gave_up", "error") & (F.col("ts") > as_of - F.expr(f"INTERVAL {hours} HOURS"))
+    return events.where(failed).orderBy(F.desc("ts"), "id").limit(limit).select("id", "ts", "domain", "kind", "reason")
 
 
 def content_types(articles: DataFrame) -> DataFrame:
@@ -59,6 +65,7 @@ def build(events, queue, events_sql: str, queue_sql: str) -> dict:
             count(*) FILTER (WHERE kind = 'fetch_started') AS attempts, round(100.0::DOUBLE * count(*) FILTER (WHERE kind = 'saved') / nullif(count(*) FILTER (WHERE kind = 'fetch_started'), 0), 1) AS success_pct FROM e"""),
         "mon_blocked_reasons": (lambda s, d: blocked(events(s, d)), f"""WITH {events_sql}, g AS (SELECT domain, count(*) AS blocked_count, list_sort(list(DISTINCT reason) FILTER (WHERE reason IS NOT NULL)) AS r, count(*) FILTER (WHERE reason IS NULL) AS no FROM e WHERE kind = 'blocked' GROUP BY domain)
             SELECT domain, blocked_count, '[' || array_to_string(list_concat(list_transform(coalesce(r, []), lambda x: '"' || x || '"'), CASE WHEN no > 0 THEN ['null'] ELSE [] END), ',') || ']' AS reasons FROM g"""),
+        "mon_recent_failures": (lambda s, d: recent_failures(events(s, d), F.lit("2024-01-30 12:00:00").cast("timestamp"), 24).select("id", F.unix_micros("ts").alias("us"), "domain", "kind", "reason"), f"WITH {events_sql} SELECT id, epoch_us(ts) AS us, domain, kind, reason FROM e WHERE kind IN ('blocked', 'fetch_failed') AND ts > TIMESTAMP '2024-01-29 12:00:00' ORDER BY ts DESC, id LIMIT 50"),
         "mon_dupes": (lambda s, d: duplicates_by_type(dups(s, d)), """SELECT CASE doc_id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'exact_content' ELSE 'near_content' END AS dup_type, count(*) AS n,
             round(avg(CASE WHEN doc_id % 3 = 2 THEN (doc_id % 100) / 100.0::DOUBLE END), 3) AS avg_similarity FROM documents GROUP BY 1"""),
         "mon_quality_domain": (lambda s, d: quality_by_domain(arts(s, d)), f"WITH {events_sql} SELECT domain AS source_domain, count(*) AS articles, round(avg(value / 100), 3) AS avg_quality, count(*) FILTER (WHERE value / 100 > 0.7) AS high_quality FROM e WHERE kind = 'saved' GROUP BY domain"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import blocks, html, text, urls
 from ..operators import dedup, discovery, frontier, outcome
 from ..streaming import crawl_log
+from . import oracles
 
-NET = r"regexp_extract(url, '^[^:]+://([^/?#]*)', 1)"
+NET = oracles.NET
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,17 +98,18 @@ def build(events, queue, at, now, events_sql: str, queue_sql: str, as_of: str, n
     best = "greatest(" + ", ".join(f"n_{c}" for c in langs) + ")"
     detect = f"""WITH n AS (SELECT doc_id, length(text) AS len, {stops} FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents))
       SELECT doc_id, CASE WHEN len >= 50 AND {best} > 0 THEN CASE {' '.join(f"WHEN n_{c} = {best} THEN '{c}'" for c in langs)} END END AS language FROM n"""
+    after = oracles.outcomes()
     return {
-        "page_outcomes": (lambda s, d: done(s, d).select("id", "url", "outcome", "why", "dup_type", "quality_score"), None),
-        "outcome_queue": (lambda s, d: outcome.queue_after(done(s, d), at()).select("id", "status", "attempts", "last_error", "defer_seconds"), None),
-        "outcome_events": (lambda s, d: outcome.events(done(s, d)), None),
-        "outcome_duplicates": (lambda s, d: outcome.duplicates(done(s, d)), None),
-        "outcome_articles": (lambda s, d: outcome.articles(done(s, d), at()).drop("quality_reasons", "headings"), None),
-        "crawl_summary": (lambda s, d: outcome.summary(done(s, d)).withColumns({c: F.to_json(c) for c in ("block_reasons", "dupe_breakdown")}), None),
-        "link_enqueue": (enqueue, None),
+        "page_outcomes": (lambda s, d: done(s, d).select("id", "url", "outcome", "why", "dup_type", "quality_score"), after["page_outcomes"]),
+        "outcome_queue": (lambda s, d: outcome.queue_after(done(s, d), at()).select("id", "status", "attempts", "last_error", "defer_seconds"), after["outcome_queue"]),
+        "outcome_events": (lambda s, d: outcome.events(done(s, d)), after["outcome_events"]),
+        "outcome_duplicates": (lambda s, d: outcome.duplicates(done(s, d)), after["outcome_duplicates"]),
+        "outcome_articles": (lambda s, d: outcome.articles(done(s, d), at()).drop("quality_reasons", "headings", "crawled_at"), after["outcome_articles"]),
+        "crawl_summary": (lambda s, d: outcome.summary(done(s, d)).withColumns({c: F.to_json(c) for c in ("block_reasons", "dupe_breakdown")}), after["crawl_summary"]),
+        "link_enqueue": (enqueue, after["link_enqueue"]),
         "discovery_sources": (lambda s, d: _hosts(s, d).select("domain", F.posexplode(discovery.source_list(F.col("domain"))).alias("pos", "source")), sources),
-        "seed_queue": (lambda s, d: discovery.seed(_hosts(s, d).withColumn("declared", F.lit(None).cast("array<string>")), _feeds(s, d)), None),
-        "classify_page": (lambda s, d: page(s, d).select("page_id", html.classify_page(F.col("html"), F.col("url")).alias("c")).select("page_id", "c.page_type", "c.reason"), None),
+        "seed_queue": (lambda s, d: discovery.seed(_hosts(s, d).withColumn("declared", F.lit(None).cast("array<string>")), _feeds(s, d)), oracles.seed_queue()),
+        "classify_page": (lambda s, d: page(s, d).select("page_id", html.classify_page(F.col("html"), F.col("url")).alias("c")).select("page_id", "c.page_type", "c.reason"), oracles.classify()),
         "content_type": (lambda s, d: page(s, d).select("page_id", html.content_type(F.col("url"), F.lit(None).cast("string")).alias("content_type")), r"""SELECT page_id, CASE WHEN regexp_matches(p, '/wiki/|^/wiki') THEN 'wiki' WHEN regexp_matches(p, '/news/|/article/|noticia|actualite') THEN 'news' WHEN regexp_matches(p, '/blog/|/post/|/posts/') THEN 'blog' ELSE 'article' END AS content_type
           FROM (SELECT page_id, lower(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)) AS p FROM pages)"""),
         "uniqueness": (lambda s, d: docs(s, d).select("doc_id", F.round(text.uniqueness(F.col("text")), 6).alias("uniqueness"), text.sentence_count(F.col("text")).alias("sentences")), uniq),

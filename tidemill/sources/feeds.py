@@ -21,6 +21,17 @@ def is_xml(text: Column) -> Column:
     return bare.startswith("<?xml") | bare.startswith("<rss") | bare.startswith("<feed")
 
 
+def is_xml_legacy(text: Column) -> Column:
+    """The older engine's test: white space goes, a byte order mark doesn't."""
+    bare = F.regexp_replace(text, r"^\s+", "")
+    return bare.startswith("<?xml") | bare.startswith("<rss") | bare.startswith("<feed")
+
+
+def is_sitemap_index(url: Column) -> Column:
+    """The older engine's mark of a sitemap to follow."""
+    return F.contains(F.lower(url), F.lit("sitemap")) & url.endswith(".xml")
+
+
 def robots_sitemaps(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: F.lower(x).startswith("sitemap:"))
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))), lambda x: x.startswith("http"))
@@ -33,7 +44,14 @@ def feed_urls(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(_urls_of)
 
 
-def _urls_of(text: str | None) -> list[str]:
+@F.pandas_udf(ArrayType(StringType()))
+def feed_urls_legacy(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """As feed_urls; links with an empty rel count too."""
+    for part in texts:
+        yield part.map(lambda t: _urls_of(t, ("alternate", "")))
+
+
+def _urls_of(text: str | None, rels: tuple[str, ...] = ("alternate",)) -> list[str]:
     try:
         root = ET.fromstring((text or "").lstrip("﻿￾ \t\r\n").encode())
     except ET.ParseError:
@@ -43,8 +61,8 @@ def _urls_of(text: str | None) -> list[str]:
         name, value = str(node.tag).rsplit("}", 1)[-1], (node.text or "").strip()
         if name == "loc" and value or name in ("link", "guid") and value.startswith("http"):
             out.append(value)
-        elif name == "link" and node.get("href", "").startswith("http") and node.get("rel", "alternate") == "alternate":
-            out.append(node.get("href"))
+        elif name == "link" and node.get("href", "").strip().startswith("http") and node.get("rel", "alternate") in rels:
+            out.append(node.get("href").strip())
     return out
 
 
