@@ -161,11 +161,11 @@ def test_token_counts_rows(spark):
 
 
 def best_by_hand(data, k=5, step=50):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in {(i, tuple(v)): (i, v) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}.values()]
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in ok:
+    for i, (q, v) in enumerate(ok):
         if q % step == 0:
-            s = sorted(((sum(a * b for a, b in zip(v, w)), c) for c, w in ok if c != q and len(w) == len(v)), key=lambda x: (-x[0], x[1]))[:k]
+            s = sorted(((sum(a * b for a, b in zip(v, w)), c) for j, (c, w) in enumerate(ok) if i != j and len(w) == len(v)), key=lambda x: (-x[0], x[1]))[:k]
             out += [(q, r + 1, c, x) for r, (x, c) in enumerate(s)]
     return sorted(out)
 
@@ -176,21 +176,36 @@ def test_top_k_matches_brute_force(spark, monkeypatch, n, span, block):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rng = random.Random(n)
     data = [(i, [rng.uniform(-span, span) for _ in range(8)]) for i in range(n)]
-    data += [(1000, data[0][1]), (1001, data[0][1]), (1050, [1.0] * 3), (1051, [0.5, -1.0, 2.0]), (2000, None), (2001, [None] * 8), (2050, [float("nan")] * 8), (2051, [float("inf")] * 8), (None, [0.1] * 8), (0, data[0][1]), (3000, []), (3001, [])]
-    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    data += [(1000, data[0][1]), (1001, data[0][1]), (1050, [1.0] * 3), (1051, [0.5, -1.0, 2.0]), (2000, None), (2001, [None] * 8), (2050, [float("nan")] * 8), (2051, [float("inf")] * 8), (None, [0.1] * 8), (0, data[0][1]), (0, data[0][1]), (3000, []), (3001, [])]
+    clash = [(a, b, 7, "x", 1) for a, b in data]  # columns named as those that the operator makes
+    got = topk.top_k(spark.createDataFrame(clash, "vec_id long, embedding array<double>, score int, block string, dims int"))
     assert sorted(map(tuple, got.collect())) == best_by_hand(data)
 
 
-def test_search_block_stops_early_and_is_exact():
+def test_top_k_holds_the_largest_values(spark):
+    data = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1.7e308, 1.0]), (3, [0.0, 0.0]), (4, [1e300, 5.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, topk.MOST), (0, 2, 4, topk.MOST), (0, 3, 3, 0), (0, 4, 2, topk.LEAST)]
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def exact_best(lists, rows, q, k=5):
+    full = lists.c @ q.T
+    full[rows, np.arange(len(rows))] = -np.inf
+    return [[(int(full[j, i]), int(j)) for j in np.lexsort((np.arange(len(full)), -full[:, i]))[:k]] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_lists_are_left_early_and_results_are_exact(clustered):
     rng = np.random.default_rng(0)
-    centres = rng.normal(size=(20, 16)) * 300
-    c = np.floor(centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * 20)
-    q, ids = c[:40], np.arange(2000)
-    i, j, s = topk.search_block(ids[:40], q, ids, c, 5)
-    exact = q @ c.T
-    exact[np.arange(40), np.arange(40)] = -np.inf
-    for r in range(40):
-        assert sorted(s[i == r], reverse=True) == sorted(exact[r], reverse=True)[:5]
+    centres = rng.normal(size=(20, 16)) * (300 if clustered else 0)
+    c = np.floor(centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * (20 if clustered else 100))
+    rows = np.arange(40)
+    lists = topk.Lists(np.arange(2000), np.arange(2000), c)
+    i, j, s, depth = lists.search(rows, c[:40], 5)
+    assert [[(int(y), int(x)) for x, y in zip(j[i == r], s[i == r])] for r in rows] == exact_best(lists, rows, c[:40])
+    # No list is read to its end for most queries.
+    assert (depth < 2000).sum() >= 30 and (not clustered or (depth <= 1750).sum() >= 20)
 
 
 # --- language model

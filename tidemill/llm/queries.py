@@ -121,12 +121,12 @@ def oracle_sql() -> dict[str, str]:
     SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(kept.text) AS text_sha256
     FROM d LEFT JOIN kept USING (k)""".replace("{ratio}", str(linededup.RATIO))
     op4 = """
-    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WITH v AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-          FROM v q JOIN v c ON len(q.v) = len(c.v) AND c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-    SELECT * FROM r WHERE rank <= 5"""
+    s AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM v q JOIN v c ON len(q.v) = len(c.v) AND c.k <> q.k WHERE q.vec_id % 50 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
     op6 = (
         "WITH "
         + _level_sql()

@@ -1,16 +1,17 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Candidates lie in blocks. In a block each dimension is a list sorted by value;
-a query reads the lists from the end that its sign favours, all to the same
-depth. What has been read bounds every candidate's score from below (unread
+Candidates lie in blocks. In a block each dimension is a list sorted by value,
+built once; blocks of queries come by, one after the other, and each query reads
+every list from the end that its sign favours, all to the same depth, a stretch
+at a time. What has been read bounds every candidate's score from below (unread
 values replaced by the list's far end) and from above (by the last value read).
-Reading stops when no outsider's upper bound reaches the k-th lower bound; the
-members' final scores are then resolved. Queries lie in blocks too, and the
-bounds of a block of queries against a block of candidates are matrix products.
+Reading ends for a query when so few candidates can still reach its k-th lower
+bound that their final scores are resolved at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,119 +22,141 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Vectors in a block of candidates and of queries, about: bounds a task's memory.
-BLOCK, QUERY_BLOCK = 4096, 512
-#: Parts of the lists that are read before bounds are looked at.
-DEPTHS = (0.25, 0.5, 0.75)
-EXACT = float(1 << 53)
-
-
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best of the block, ties to smaller id; its own id is left out."""
-    n, dims = c.shape
-    wide = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims >= EXACT
-    k = min(k, n)
-    if wide or not n:  # products that doubles can't hold exactly: integers, lists read to their ends
-        exact = q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T if n else np.zeros((len(q), 0))
-        rows, cols, score = [], [], []
-        for i in range(len(q)):
-            order = sorted((-exact[i, j], c_ids[j], j) for j in range(n) if c_ids[j] != q_ids[i])[:k]
-            rows += [i] * len(order)
-            cols += [j for _, _, j in order]
-            score += [-s for s, _, _ in order]
-        return np.array(rows, int), np.array(cols, int), np.array(score, np.int64)
-    up, down = np.maximum(q, 0.0), np.minimum(q, 0.0)
-    order = np.argsort(c, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-    ends = np.take_along_axis(c, order, 0)
-    low, high = ends[0], ends[-1]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    todo = np.arange(len(q))
-    for part in (*DEPTHS, 1.0):
-        if not len(todo):
-            break
-        d = max(1, min(n, round(n * part)))
-        top, bottom = rank >= n - d, rank < d
-        u, v = up[todo], down[todo]
-        floor = u @ np.where(top, c, low).T + v @ np.where(bottom, c, high).T
-        floor[q_ids[todo][:, None] == c_ids[None, :]] = -np.inf
-        if part == 1.0:
-            members, done = floor, np.ones(len(todo), bool)
-        else:
-            ceiling = u @ np.where(top, c, ends[n - d]).T + v @ np.where(bottom, c, ends[d - 1]).T
-            ceiling[q_ids[todo][:, None] == c_ids[None, :]] = -np.inf
-            kth = np.partition(floor, n - k, axis=1)[:, n - k]
-            # Outsiders that can still reach the k-th lower bound are kept as members if they are few.
-            can = (ceiling >= kth[:, None]) & (ceiling > -np.inf)
-            done = can.sum(1) <= max(4 * k, 64)
-            members = np.where(can, 0.0, -np.inf)
-        for i in np.flatnonzero(done):
-            m = np.flatnonzero(members[i] > -np.inf)
-            if part == 1.0 and len(m) > k:
-                kth_i = np.partition(floor[i, m], len(m) - k)[len(m) - k]
-                m = m[floor[i, m] >= kth_i]
-            score = c[m] @ q[todo[i]]
-            best = m[np.lexsort((c_ids[m], -score))[:k]]
-            found.append((np.full(len(best), todo[i]), best, (c[best] @ q[todo[i]]).astype(np.int64)))
-        todo = todo[~done]
-    if not found:
-        return np.array([], int), np.array([], int), np.array([], np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _matrix(blob: bytes, dims: int) -> np.ndarray:
-    return np.frombuffer(blob, np.float64).reshape(-1, dims)
+BLOCK, QUERY_BLOCK = 4096, 256
+#: Parts of the lists after which bounds are looked at; bounds of dense vectors close late.
+DEPTHS = (1 / 8, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32)
+SINGLE, EXACT = 1 << 24, 1 << 53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+class Lists:
+    """The sorted lists of a block of candidates, in the order of (id, row)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, c: np.ndarray):
+        self.ids, self.rows, self.c = ids, rows, c
+        self.order = np.ascontiguousarray(np.argsort(c, axis=0, kind="stable").T)
+        self.values = np.ascontiguousarray(np.take_along_axis(c, self.order.T, 0).T)
+
+    def resolve(self, q: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of members and their scores; sums are whole numbers that the type holds exactly."""
+        score = self.c[members] @ q
+        best = np.lexsort((members, -score))[:k]
+        return members[best], score[best].astype(np.int64)
+
+    def search(self, q_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score) of each query's k best, ties to smaller id, and the depth to which each query read."""
+        n, dims = self.c.shape
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        low, high = self.values[:, 0], self.values[:, -1]
+        top, bottom = (np.zeros((n, dims), q.dtype) for _ in range(2))
+        known = np.zeros((n, len(q)), q.dtype)  # of each score, what has been read
+        todo, depth, read, found = np.arange(len(q)), np.full(len(q), n), 0, []
+        for part in (*DEPTHS, 1.0):
+            upto = min(n, max(read + 1, round(n * part)))
+            for d in range(dims) if upto > read else ():
+                for side, seen, at in ((up, top, slice(n - upto, n - read)), (down, bottom, slice(read, upto))):
+                    if side[todo, d].any():
+                        who = self.order[d, at]
+                        known[who] += self.values[d, at, None] * side[todo, d]
+                        seen[who, d] = 1
+            read = upto
+            own = self.rows[:, None] == q_rows[todo]
+            u, v = up[todo], down[todo]
+            floor = known + (u @ low + v @ high) - top @ (u * low).T - bottom @ (v * high).T
+            ceiling = known + (u @ self.values[:, n - read] + v @ self.values[:, read - 1]) - top @ (u * self.values[:, n - read]).T - bottom @ (v * self.values[:, read - 1]).T
+            floor[own] = ceiling[own] = -np.inf
+            kth = np.partition(floor, max(n - k, 0), axis=0)[max(n - k, 0)]
+            can = (ceiling >= kth) & ~own
+            done = (can.sum(0) <= max(4 * k, 64)) | (read == n)
+            for i in np.flatnonzero(done):
+                best, score = self.resolve(q[todo[i]], np.flatnonzero(can[:, i]), k)
+                found.append((np.full(len(best), todo[i]), best, score))
+            depth[todo[done]] = read
+            todo, known = todo[~done], np.ascontiguousarray(known[:, ~done])
+            if not len(todo):
+                break
+        none = np.zeros(0, np.int64)
+        return (*(np.concatenate([none, *x]) for x in (zip(*found, strict=True) if found else ([], [], []))), depth)
+
+
+def _whole(x: float) -> int:
+    return math.floor(256 * x) if abs(x) < 2.0**900 else int(x) * 256
+
+
+def search_wide(q_rows: np.ndarray, q: np.ndarray, c_rows: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As Lists.search for products that doubles can't hold: whole numbers of any size, lists read to their ends."""
+    rows, cols, score = [], [], []
+    for i, x in enumerate(q):
+        sums = sorted((-min(max(sum(map(int.__mul__, x, y)), LEAST), MOST), j) for j, y in enumerate(c) if c_rows[j] != q_rows[i])[:k]
+        rows += [i] * len(sums)
+        cols += [j for _, j in sums]
+        score += [-s for s, _ in sums]
+    return np.array(rows, np.int64), np.array(cols, np.int64), np.array(score, np.int64)
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """One row per (block, dims): ids and values of its vectors as bytes."""
-    ids = rows.column("vec_id").to_numpy().astype(np.int64)
-    values = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    """One row per (block, dims): row numbers, ids and vectors of its rows as bytes, in the order of (id, row)."""
     dims = rows.column("dims")[0].as_py()
-    order = np.argsort(ids, kind="stable")
+    ids, row = (rows.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "row"))
+    values = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), max(dims, 0))
+    order = np.lexsort((row, ids))
     return pa.table({
         "block": pa.array([rows.column("block")[0].as_py()], pa.int64()), "dims": pa.array([dims], pa.int32()),
-        "ids": pa.array([ids[order].tobytes()], pa.binary()), "vecs": pa.array([values.reshape(len(ids), dims)[order].tobytes()], pa.binary()),
+        **{n: pa.array([a[order].tobytes()], pa.binary()) for n, a in (("rows", row), ("ids", ids), ("vecs", values))},
     })
 
 
-def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: float = 256.0, query_step: int = 50) -> DataFrame:
+def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, query_step: int = 50) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by query_step, the k rows of highest inner product.
 
-    Components become floor(scale * x). Rows with a null id, a null vector, or
+    Components become floor(256 * x). Rows with a null id, a null vector, or
     null or non-finite components take no part; vectors only meet vectors of
-    their own length; empty vectors score 0. Rows equal in id and vector count
-    once. Rows of the query's own id are no candidates. Fewer than k
-    candidates: all. Ties go to the smaller id. Other columns aren't looked at.
-    Scores that 64 bits don't hold are an error.
+    their own length; empty vectors score 0. Every row but the query's own is a
+    candidate: repeated rows are candidates and queries each of their own.
+    Fewer than k candidates: all. Ties go to the smaller id. Other columns
+    aren't looked at. Scores beyond 64 bits are the nearest number that they hold.
     """
-    spark = vectors.sparkSession
-    x = F.transform(F.col(vec_col), lambda e: F.floor(e.cast("double") * scale).cast("double"))
     finite = F.forall(F.col(vec_col), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(finite)
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v")).dropDuplicates(["vec_id", "v"]).withColumn("dims", F.size("v"))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), F.size(vec_col).alias("dims"), F.monotonically_increasing_id().alias("row"))
     rows = materialize(rows, "vectors")
     n = rows.count()
     blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-n // (query_step * QUERY_BLOCK)))
-    spread = lambda b: F.pmod(F.xxhash64("vec_id", "v"), F.lit(b))
-    shape = "block long, dims int, ids binary, vecs binary"
-    cand = rows.withColumn("block", spread(blocks)).groupBy("dims", "block").applyInArrow(_pack, shape)
-    ask = rows.where(F.col("vec_id") % query_step == 0).withColumn("block", spread(q_blocks)).groupBy("dims", "block").applyInArrow(_pack, shape)
-    cand = cand.select("dims", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q_block"))
-    pairs = cand.join(ask.withColumnRenamed("block", "q_block"), ["dims", "q_block"]).repartition(max(blocks, 1) * max(q_blocks, 1))
+    spread = lambda b: F.pmod(F.xxhash64("row"), F.lit(b))
+    shape = "block long, dims int, rows binary, ids binary, vecs binary"
+    pack = lambda df, b: df.withColumn("block", spread(b)).groupBy("dims", "block").applyInArrow(_pack, shape)
+    cand = pack(rows, blocks).select("dims", "block", F.lit(-1).cast("long").alias("q_block"), "rows", "ids", "vecs")
+    # Candidates stay where they are; each block of queries goes to every block of candidates.
+    ask = pack(rows.where(F.col("vec_id") % query_step == 0), q_blocks).withColumnRenamed("block", "q_block")
+    ask = ask.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "q_block", "rows", "ids", "vecs")
+    met = cand.unionByName(ask).repartition(blocks, "dims", "block").sortWithinPartitions("dims", "block", "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, c_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-                if r["dims"] <= 0:
-                    q, c = np.zeros((len(q_ids), 1)), np.zeros((len(c_ids), 1))
+            for at in range(batch.num_rows):
+                r = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+                row, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
+                x = np.frombuffer(r["vecs"], np.float64).reshape(len(row), max(r["dims"], 0))
+                if r["q_block"] < 0:
+                    place, held, lists = (r["dims"], r["block"]), (ids, row, x), {}
+                    continue
+                if place != (r["dims"], r["block"]):
+                    continue  # no vector of this length is in this block
+                c_ids, c_row, c = held
+                most = 256 * max(float(np.abs(a).max(initial=0)) for a in (x, c)) + 1
+                bound = 4 * most * most * max(r["dims"], 1)  # of the sums that bounds are made of
+                if bound >= EXACT:
+                    if "wide" not in lists:
+                        lists["wide"] = [list(map(_whole, v)) for v in c.tolist()]
+                    i, j, s = search_wide(row, [list(map(_whole, v)) for v in x.tolist()], c_row, lists["wide"], k)
                 else:
-                    q, c = _matrix(r["vecs"], r["dims"]), _matrix(r["c_vecs"], r["dims"])
-                i, j, s = search_block(q_ids, q, c_ids, c, k)
-                # The row of the query within its block tells apart queries that share an id.
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(i.astype(np.int32)), pa.array(np.full(len(i), r["q_block"], np.int64)), pa.array(np.full(len(i), r["dims"], np.int32)), pa.array(c_ids[j]), pa.array(s)], ["query_id", "q_row", "q_block", "dims", "vec_id", "score"])
-
-    best = pairs.mapInArrow(run, "query_id long, q_row int, q_block long, dims int, vec_id long, score long")
-    w = Window.partitionBy("query_id", "q_row", "q_block", "dims").orderBy(F.desc("score"), "vec_id")
+                    kind = np.float32 if bound < SINGLE else np.float64
+                    if kind not in lists:
+                        lists[kind] = Lists(c_ids, c_row, np.floor(256 * c).astype(kind) if r["dims"] > 0 else np.zeros((len(c), 1), kind))
+                    i, j, s, _ = lists[kind].search(row, np.floor(256 * x).astype(kind) if r["dims"] > 0 else np.zeros((len(x), 1), kind), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(row[i]), pa.array(c_ids[j]), pa.array(c_row[j]), pa.array(s)], ["query_id", "q_row", "vec_id", "c_row", "score"])
+
+    best = met.mapInArrow(run, "query_id long, q_row long, vec_id long, c_row long, score long")
+    w = Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), "vec_id", "c_row")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
