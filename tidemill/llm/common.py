@@ -46,7 +46,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, and gives the planner a true size."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes what materialize wrote, once all that was made of it is written too."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import materialize, text_key
+from .common import discard, materialize, text_key
 
 #: Candidates that share a variant are compared pair by pair up to so many, and by growing trees beyond.
 SMALL_RUN = 8
@@ -215,14 +215,19 @@ def components(edges: DataFrame) -> DataFrame:
         roots = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")), "pointers")
         while True:
             further = materialize(_follow(roots, roots), "pointers")
-            roots = further.select("node", "label")
+            discard(roots)
             if further.where("label <> old").isEmpty():
                 break
-        total = roots if total is None else materialize(_follow(total, roots).select("node", "label"), "labels")
+            roots = further
+        roots = further.select("node", "label")
+        before, total = total, further if total is None else materialize(_follow(total, roots).select("node", "label"), "labels")
         near = pairs.join(roots, pairs["src"] == roots["node"]).select(F.col("label").alias("new_src"), "dst")
-        pairs = near.join(roots, near["dst"] == roots["node"]).select(F.col("new_src").alias("src"), F.col("label").alias("dst")).where("src <> dst").distinct()
-        pairs = materialize(pairs, "links")
+        left = near.join(roots, near["dst"] == roots["node"]).select(F.col("new_src").alias("src"), F.col("label").alias("dst")).where("src <> dst").distinct()
+        left = materialize(left, "links")
+        discard(pairs, before, None if total is further else further)
+        pairs = left
         if pairs.isEmpty():
+            discard(pairs)
             return total
 
 
@@ -246,6 +251,7 @@ def groups(docs: DataFrame, scheme: Scheme = BITS_3, *, id_col: str = "doc_id",
     low = materialize(low.where("n > 1").select(F.col("label").alias("c_label"), "component_id"), "low")
     member = linked.join(low, linked["label"] == low["c_label"], "left").select(F.col("fp").alias("m_fp"), F.when(F.col("c_label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
     member = materialize(member, "members")
+    discard(nodes, found, linked, low)
     own = prints.select("doc_id", "h", as_hex.alias("fingerprint"))
     return own.join(member, own["fingerprint"] == member["m_fp"]).select("doc_id", "h", "fingerprint", "component_id")
 
