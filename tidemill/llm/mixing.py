@@ -10,6 +10,7 @@ small buckets first, so that no task ever holds a whole source or the table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ from .common import WORD, materialize
 
 #: Documents in a bucket of a running total, about.
 BUCKET_ROWS = 4096
+#: Buckets whose totals are summed together.
+SPAN = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -53,18 +56,31 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     )
 
 
-def _running(df: DataFrame, part: list[str], bucket: str, order: list[str], amount: str, out: str) -> DataFrame:
-    """df with `out`: the running total of `amount` in the order of (bucket, *order) within part, its own row counted."""
-    names = [f"__{c}" for c in (*part, bucket)]
-    sums = df.groupBy(*part, bucket).agg(F.sum(amount).alias("__sum"))
-    ahead = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(n) for c, n in zip((*part, bucket), names, strict=True)], F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__before"))
-    sums = materialize(sums, "bucket-totals")
-    within = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _running(df: DataFrame, part: list[str], bucket: str, order: list[str], amount: str, out: str, limit: int | None = None) -> DataFrame:
+    """df with `out`: the running total of `amount` in the order of (bucket, *order) within part, its own row counted.
+
+    With a limit, buckets that begin beyond it are left out before any of their
+    rows are moved. Totals go up in three steps: of rows, of buckets, of SPAN
+    buckets together, so one task orders few numbers however many rows there are.
+    """
+    names, top = [f"__{c}" for c in (*part, bucket)], [f"__top_{c}" for c in part]
+    first = lambda by, of: Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, by, of: F.coalesce(F.sum(c).over(first(by, of)), F.lit(0))
+    sums = df.groupBy(*part, bucket).agg(F.sum(amount).alias("__sum")).withColumn("__span", F.floor(F.col(bucket) / SPAN))
+    tops = sums.groupBy(*[F.col(c).alias(t) for c, t in zip(part, top, strict=True)], F.col("__span").alias("__top_span")).agg(F.sum("__sum").alias("__top_sum"))
+    tops = tops.withColumn("__ahead", before("__top_sum", top, "__top_span"))
+    same = F.col("__span") == F.col("__top_span")
+    for c, t in zip(part, top, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(t))
+    sums = sums.join(tops, same).withColumn("__before", F.col("__ahead") + before("__sum", [*part, "__span"], bucket))
+    if limit is not None:
+        sums = sums.where(F.col("__before") <= limit)
+    sums = materialize(sums.select(*[F.col(c).alias(n) for c, n in zip((*part, bucket), names, strict=True)], "__before"), "bucket-totals")
     cond = F.lit(True)
     for c, n in zip((*part, bucket), names, strict=True):
         cond = cond & df[c].eqNullSafe(sums[n])
-    return df.withColumn("__own", F.sum(amount).over(within)).join(sums, cond).withColumn(out, F.col("__before") + F.col("__own")).drop("__own", "__before", *names)
+    within = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(sums, cond).withColumn(out, F.col("__before") + F.sum(amount).over(within)).drop("__before", *names)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -91,8 +107,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     flow = flow.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("finish", F.when(F.col("target") > 0, (F.col("source_size") * F.col("epoch") + F.col("upto")) / F.col("target")))
     queue = materialize(flow.where(F.col("finish").isNotNull()), "queue")
     slots = max(1, n * most // BUCKET_ROWS)
-    queue = queue.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(4.0)) * slots).cast("long"))
-    queue = _running(queue, [], "slot", ["finish", "source", "ord", "epoch"], "size", "all_upto").where(F.col("all_upto") <= F.floor(F.col("total") + 0.001))
+    queue = queue.withColumn("slot", F.floor(F.col("finish") * slots).cast("long"))
+    # All targets are used up soon after finish 1; what would finish long after is never moved.
+    most_words = math.floor((src.agg(F.max("total")).first()[0] or 0) + 0.001)
+    queue = _running(queue, [], "slot", ["finish", "source", "ord", "epoch"], "size", "all_upto", limit=most_words).where(F.col("all_upto") <= most_words)
     keys = ["doc_id", "h", "source", "size", "ord"]
     both = docs.select(*keys, F.lit(1).alias("rows"), F.lit(0).alias("got")).unionByName(queue.select(*keys, F.lit(0).alias("rows"), F.lit(1).alias("got")))
     per = both.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("got").alias("got"))
