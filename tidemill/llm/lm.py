@@ -68,9 +68,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[tuple
     """Rows, token hashes, and tokens of each row, some FLUSH tokens together; one very long text makes one block."""
     rows, parts, sizes, n = [], [], [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = text_tokens(row[-1])
-            rows.append(row[:-1])
+        for at in range(batch.num_rows):  # one text at a time: a batch may hold 64 MB of them
+            *row, text = (c[at].as_py() for c in batch.columns)
+            words = text_tokens(text)
+            rows.append(row)
             parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
             sizes.append(len(words))
             n += len(words)
