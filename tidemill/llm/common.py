@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A bitmap of keys has 2^SLOTS words, some 16 MB where it is broadcast. With 2 million keys in it 6 % of other keys pass, and when it is full all do: the joins behind it are exact.
+SLOTS = 19
+_BIT = f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SLOTS - 6}) & 63 as int))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +72,23 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def row_key(id_: str | Column, text_hash: str | Column) -> Column:
+    """A hash of a row's id and text hash, null ids included; equal rows have equal keys."""
+    return F.xxhash64(id_, text_hash)
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """(slot, bits): a bitmap of the keys (column key), 2^SLOTS words of 64 bits at most however many keys there are."""
+    return keys.groupBy(F.shiftrightunsigned("key", 64 - SLOTS).alias("slot")).agg(F.expr(f"bit_or({_BIT})").alias("bits"))
+
+
+def sift(rows: DataFrame, held: DataFrame, *, at_all: bool) -> DataFrame:
+    """The rows whose key the bitmap may hold (at_all), or those whose key it surely doesn't; nothing is shuffled."""
+    met = rows.join(F.broadcast(held.withColumnsRenamed({"slot": "__slot", "bits": "__bits"})), F.shiftrightunsigned(rows["key"], 64 - SLOTS) == F.col("__slot"), "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.expr(_BIT)) != 0, F.lit(False))
+    return met.where(hit if at_all else ~hit).drop("__slot", "__bits")
+
+
 def same_row(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """Equality of the named columns, null equal to null."""
     cond = F.lit(True)
