@@ -16,11 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import discard, materialize, text_key
+from .common import discard, materialize, row_key, sieve, sift, text_key
 
 #: Candidates that share a variant are compared pair by pair up to so many, and by growing trees beyond.
 SMALL_RUN = 8
@@ -264,12 +264,20 @@ def dedup(docs: DataFrame, scheme: Scheme | neardup.Similar = SIMILAR_08, *, id_
         member = groups(docs, scheme, id_col=id_col, text_col=text_col)
     member = materialize(member, "groups")
     # Rows without any id to their group are told apart by their fingerprint.
-    w = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy(F.col("doc_id").asc_nulls_last(), "h")
-    times = member.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "n")
-    first = member.withColumn("i", F.row_number().over(w)).where("i = 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    keep = first.join(times, first["__id"].eqNullSafe(times["t_id"]) & (first["__h"] == times["t_h"]), "left").select("__id", "__h", F.coalesce("n", F.lit(1)).alias("__n"))
-    keep = materialize(keep, "kept")
-    out = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]) & (text_key(docs[text_col]) == keep["__h"]))
-    once = out.where(F.col("__n") == 1).select(*docs.columns)
-    again = out.where(F.col("__n") > 1).dropDuplicates(["__id", "__h"]).select(*docs.columns)
-    return once.unionByName(again)
+    own = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    several = member.groupBy("component_id", own.alias("own")).agg(F.count("*").alias("of"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")).where("of > 1")
+    several = materialize(several.select(F.col("component_id").alias("g_id"), F.col("own").alias("g_own"), "first"), "groups-of-several")
+    grouped = member.withColumn("own", own).join(several, F.col("component_id").eqNullSafe(F.col("g_id")) & F.col("own").eqNullSafe(F.col("g_own")))
+    stays = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("h") == F.col("first.h"))
+    grouped = materialize(grouped.select("doc_id", "h", row_key("doc_id", "h").alias("key"), stays.alias("stays")), "grouped")
+    # Only rows of groups of several are moved; the others stay where they are. Of equal rows the group keeps one.
+    held = materialize(sieve(grouped), "sieve")
+    discard(member, several)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_h"))
+    keyed = keyed.withColumn("key", row_key("id", "text_h"))
+    alone = sift(keyed, held, at_all=False).select("row.*")
+    verdicts = grouped.groupBy("key", "doc_id", "h").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).withColumnRenamed("key", "g_key")
+    met = sift(keyed, held, at_all=True).join(verdicts, (F.col("key") == F.col("g_key")) & F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_h") == F.col("h")), "left")
+    once = met.where(F.col("g_key").isNull() | (F.col("stays") & (F.col("n") == 1))).select("row.*")
+    again = met.where(F.col("stays") & (F.col("n") > 1)).dropDuplicates(["g_key", "doc_id", "h"]).select("row.*")
+    return alone.unionByName(once).unionByName(again)
