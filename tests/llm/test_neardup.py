@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemill.llm import neardup, simhash
+from tidemill.llm import common, neardup, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -74,3 +74,13 @@ def test_large_groups_and_chains_match_all_pairs(spark, monkeypatch, centres):
     docs += [(n + i, " ".join(chain[4 * i : 4 * i + 94])) for i in range(15)]  # each near the next only
     rng.shuffle(docs)
     assert kept(spark, docs) == by_hand(docs)
+
+
+@pytest.mark.parametrize("slots", [1, 19])
+def test_rows_pass_whole_whether_the_bitmap_is_full_or_sparse(spark, monkeypatch, slots):
+    monkeypatch.setattr(common, "SLOTS", slots)
+    monkeypatch.setattr(common, "_BIT", f"shiftleft(1L, cast(shiftrightunsigned(key, {58 - slots}) & 63 as int))")
+    rng = random.Random(7)
+    docs = pairs_with_tail(rng, 40, 3) + [(1000 + i, " ".join(words(rng, 30))) for i in range(200)]
+    docs += docs[:5] + docs[-5:]  # equal rows: one of each stays
+    assert kept(spark, docs) == by_hand(docs)
