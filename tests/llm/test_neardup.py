@@ -84,3 +84,23 @@ def test_rows_pass_whole_whether_the_bitmap_is_full_or_sparse(spark, monkeypatch
     docs = pairs_with_tail(rng, 40, 3) + [(1000 + i, " ".join(words(rng, 30))) for i in range(200)]
     docs += docs[:5] + docs[-5:]  # equal rows: one of each stays
     assert kept(spark, docs) == by_hand(docs)
+
+
+def test_fingerprints_met_by_their_deletion_variants_find_near_copies(spark, monkeypatch):
+    """Without bands, what is near by SimHash is still found, all of it, and nothing that isn't near by its shingles."""
+    rng, docs = random.Random(3), []
+    for i in range(120):
+        w = words(rng, 400)
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 400 - i % 4] + words(rng, i % 4)))]
+    sets = {k: neardup.shingles(t, 5) for k, t in docs}
+    near = [2 * i for i in range(120) if ((neardup.fingerprint(sets[2 * i]) ^ neardup.fingerprint(sets[2 * i + 1])) & (1 << 64) - 1).bit_count() <= 3]
+    assert by_hand(docs) == list(range(0, 240, 2)) and 60 < len(near)
+    got = {r.doc_id for r in simhash.dedup(spark.createDataFrame(docs, DOCS), neardup.Similar(bands=0)).collect()}
+    assert {k for k, _ in docs} - got == {i + 1 for i in near}
+
+
+def test_candidates_of_the_fingerprints_are_compared_by_their_shingles(spark):
+    docs = [(n, t) for n, (_, t) in enumerate(pairs_with_tail(random.Random(5), 12, 14) + pairs_with_tail(random.Random(6), 12, 3))]
+    every = lambda nodes: nodes.select(nodes.node.alias("a")).crossJoin(nodes.select(nodes.node.alias("b"))).where("a < b")
+    got = neardup.groups(spark.createDataFrame(docs, DOCS), neardup.Similar(bands=0), every, simhash.components)
+    assert sorted({r.component_id for r in got.collect()}) == by_hand(docs)

@@ -1,7 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles, checked exactly.
 
-MinHash bands name candidates; each pair of them is compared on the whole
-shingle sets before it becomes a link. Only distinct sets are compared. Sets
+SimHash fingerprints of the shingle sets, met by their deletion variants, name
+the first candidates, and MinHash bands those that differ in more bits. Each
+pair is compared on the whole shingle sets before it becomes a link. Only
+distinct sets are compared, and by bands only what the fingerprints' links
+leave apart. Sets
 that share a band are first compared with the one among them that shares most
 bands, and pairs that verified links have joined already are not compared, so a
 group of copies makes about as many pairs as it has members. A pair is compared
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key, sieve, sift, text_key
+from .common import discard, materialize, release, row_key, sieve, sift, text_key
 
 #: Sets that share a band are compared pair by pair up to so many, and with one centre a round beyond.
 SMALL_RUN = 8
@@ -86,21 +89,30 @@ def histogram(hashes: np.ndarray) -> np.ndarray | None:
     return counts.astype(np.int16) if counts.max(initial=0) <= MOST else None
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a shingle set, as a signed long: a bit is 1 if over half of the hashes have it. An empty set: zero."""
+    counts = np.zeros(64, np.int64)
+    for s in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[s : s + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def marks(docs: DataFrame, scheme: Similar, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, node, m, bands) of each row: text hash, digest and size of its shingle set, and band keys."""
+    """(doc_id, h, node, m, f0, bands) of each row: text hash, digest, size and fingerprint of its shingle set, and band keys."""
     bare = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py(), scheme.shingle)
                 nodes.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 sizes.append(len(s))
+                prints.append(fingerprint(s))
                 keys.append(bands(s, scheme))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "node", "m", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "node", "m", "f0", "bands"])
 
-    return bare.mapInArrow(run, f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, h long, node string, m long, bands array<long>")
+    return bare.mapInArrow(run, f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, h long, node string, m long, f0 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, scheme: Similar, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,13 +181,23 @@ def _joined_by(near: DataFrame, found: DataFrame | None, components) -> DataFram
     return now
 
 
-def links(shared: DataFrame, sets: DataFrame, scheme: Similar, components) -> DataFrame | None:
-    """(node, label) of all nodes that verified links join up, each pair that shares a key being compared or joined already.
+def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows (node, ...) with each node's label, itself where it has none."""
+    if found is None:
+        return rows.withColumn("label", F.col("node"))
+    to = found.select(F.col("node").alias("f_node"), F.col("label").alias("f_label"))
+    return rows.join(to, rows["node"] == to["f_node"], "left").select(*rows.columns, F.coalesce("f_label", "node").alias("label"))
+
+
+def links(shared: DataFrame, tested: DataFrame, sets: DataFrame, scheme: Similar, components) -> DataFrame | None:
+    """(node, label) of all nodes that verified links join up: the pairs tested (a, b), and each that shares a key, being compared or joined already.
 
     shared has (node, m, key, pop): the bands that several nodes have, and in
     how many such places a node meets others. sets has what they are compared by.
     """
-    active, tested, found = materialize(shared.withColumn("label", F.col("node")), "active"), None, None
+    found = _joined_by(materialize(similar(tested, sets, scheme), "near"), None, components)
+    release(sets.sparkSession)
+    active = materialize(_labelled(shared, found), "active")
     for turn in range(CENTRES + 1):
         runs = active.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pop", "node", "m", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
         runs = materialize(runs, "runs")
@@ -198,46 +220,45 @@ def links(shared: DataFrame, sets: DataFrame, scheme: Similar, components) -> Da
             first = F.col("node") < F.col("c.node")
             pairs = pairs.union(centred.select(F.least("node", "c.node"), F.greatest("node", "c.node"), F.when(first, F.col("m")).otherwise(F.col("c_m")), F.when(first, F.col("c_m")).otherwise(F.col("m"))))
         pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if not last:
             for side in "ab":
                 pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("hist").alias(f"hist_{side}")), side)
             pairs = pairs.where(_may_match_whole("hist_a", "hist_b", "m_a", "m_b", scheme))
         pairs = materialize(pairs.select("a", "b"), "pairs")
         near = materialize(similar(pairs, sets, scheme), "near")
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = tested.union(pairs)
         discard(runs)
         found = _joined_by(near, found, components)
         if rest is None:
             break
-        left = rest.select("node", "m", "key", "pop")
-        if found is None:
-            now = materialize(left.withColumn("label", F.col("node")), "active")
-        else:
-            to = found.select(F.col("node").alias("f_node"), F.col("label").alias("f_label"))
-            now = materialize(left.join(to, left["node"] == to["f_node"], "left").select("node", "m", "key", "pop", F.coalesce("f_label", "node").alias("label")), "active")
+        now = materialize(_labelled(rest.select("node", "m", "key", "pop"), found), "active")
         discard(active, rest)
         active = now
+        release(sets.sparkSession)
     discard(active)
     return found
 
 
-def groups(docs: DataFrame, scheme: Similar, components, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, scheme: Similar, candidates, components, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, h (text hash), fingerprint (digest of the shingle set), component_id (smallest doc_id reachable).
 
-    Texts without words are one set. A null doc_id is reached like any but is
+    candidates makes pairs (a, b), a < b, of nodes (node, f0) with near
+    fingerprints, components (node, label) of links (a, b). Texts without words are one set. A null doc_id is reached like any but is
     never the smallest; a group of nothing else has a null component_id.
     """
     prints = materialize(marks(docs, scheme, id_col=id_col, text_col=text_col), "marks")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("m").alias("m"), F.first("bands").alias("bands"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("m").alias("m"), F.first("f0").alias("f0"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "distinct-sets")
+    first = materialize(candidates(nodes.where("m > 0").select("node", "f0")), "candidates")
+    release(docs.sparkSession)
     keyed = nodes.select("node", "m", F.explode("bands").alias("key"))
     several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
     shared = materialize(keyed.join(several, "key"), "shared")
     pop = shared.groupBy("node").agg(F.sum("n").alias("pop"))
-    sets = materialize(shingle_sets(docs, nodes.join(pop, "node", "left_semi"), scheme, id_col=id_col, text_col=text_col), "shingle-sets")
-    found = links(shared.drop("n").join(pop, "node"), sets, scheme, components)
+    wanted = pop.select("node").union(first.select("a")).union(first.select("b"))
+    sets = materialize(shingle_sets(docs, nodes.join(wanted, "node", "left_semi"), scheme, id_col=id_col, text_col=text_col), "shingle-sets")
+    found = links(shared.drop("n").join(pop, "node"), first, sets, scheme, components)
     linked = nodes.select("node", "rep", F.col("node").alias("label"))
     if found is not None:
         to = found.select(F.col("node").alias("f_node"), F.col("label").alias("f_label"))
@@ -245,5 +266,6 @@ def groups(docs: DataFrame, scheme: Similar, components, *, id_col: str = "doc_i
     low = materialize(linked.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "low")
     member = linked.join(low, "label", "left").select(F.col("node").alias("m_node"), F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.col("label").alias("m_label"))
     member = materialize(member, "members")
-    discard(several, shared, sets, low, found, linked, nodes)
+    discard(several, shared, first, sets, low, found, linked, nodes)
+    release(docs.sparkSession)
     return prints.join(member, prints["node"] == member["m_node"]).select("doc_id", "h", F.col("m_label").alias("fingerprint"), "component_id")

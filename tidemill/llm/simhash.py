@@ -44,8 +44,9 @@ class Scheme:
 
 #: Two segments of 32 bits find every pair that differs in 3 bits or fewer.
 BITS_3 = Scheme()
-#: Five-word shingles and a Jaccard similarity of 0.8. SimHash can't promise it: such a pair differs in 19 +/- 4 of 128
-#: bits, and with segments enough to find them all each segment would have about 8 bits, which chance pairs share too.
+#: Five-word shingles and a Jaccard similarity of 0.8. Fingerprints within BITS_3 are candidates first. They can't promise
+#: 0.8: such a pair differs in 19 +/- 4 of 128 bits, and with segments enough to find them all each segment would have
+#: about 8 bits, which chance pairs share too. MinHash bands name what they leave.
 SIMILAR_08 = neardup.Similar()
 
 
@@ -166,6 +167,10 @@ def _hexed(rows: np.ndarray) -> list[str]:
     return ["".join(f"{int(x):016x}" for x in r) for r in rows]
 
 
+def _as_hex(scheme: Scheme) -> Column:
+    return F.concat(*(F.lpad(F.lower(F.hex(f"f{i}")), 16, "0") for i in range(scheme.width)))
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): pairs of fingerprints, as hex, that join up all fingerprints within scheme.distance."""
     names = [f"f{i}" for i in range(scheme.width)]
@@ -195,6 +200,21 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return keyed.mapInArrow(run, "a string, b string").distinct()
 
 
+def candidates(nodes: DataFrame, scheme: Scheme = BITS_3) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, f0, f1...) that join up all whose fingerprints are within scheme.distance.
+
+    Nodes of one fingerprint are tied to the smallest of them, and these to each other.
+    """
+    names = [f"f{i}" for i in range(scheme.width)]
+    own = nodes.select("node", _as_hex(scheme).alias("fp"), *names)
+    low = materialize(own.groupBy("fp", *names).agg(F.min("node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+    pairs = own.join(low.where("n > 1").select("fp", "low"), "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    far = links(low, scheme)
+    for side in "ab":
+        far = far.join(low.select(F.col("fp").alias(side), F.col("low").alias(f"node_{side}")), side)
+    return pairs.union(far.select(F.least("node_a", "node_b"), F.greatest("node_a", "node_b")))
+
+
 def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
     """(node, label, old): each label replaced by its own label in step (node, label), where it has one."""
     step = step.select(F.col("node").alias("s_node"), F.col("label").alias("s_label"))
@@ -241,7 +261,7 @@ def groups(docs: DataFrame, scheme: Scheme = BITS_3, *, id_col: str = "doc_id",
     """
     names = [f"f{i}" for i in range(scheme.width)]
     prints = materialize(fingerprints(docs, scheme, id_col=id_col, text_col=text_col), "fingerprints")
-    as_hex = F.concat(*(F.lpad(F.lower(F.hex(n)), 16, "0") for n in names))
+    as_hex = _as_hex(scheme)
     nodes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     found = components(links(nodes, scheme))
     named = nodes.select(as_hex.alias("fp"), "rep")
@@ -259,7 +279,7 @@ def groups(docs: DataFrame, scheme: Scheme = BITS_3, *, id_col: str = "doc_id",
 def dedup(docs: DataFrame, scheme: Scheme | neardup.Similar = SIMILAR_08, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of smallest id of each group (null ids last, then by text hash), all columns kept."""
     if isinstance(scheme, neardup.Similar):
-        member = neardup.groups(docs, scheme, components, id_col=id_col, text_col=text_col)
+        member = neardup.groups(docs, scheme, candidates, components, id_col=id_col, text_col=text_col)
     else:
         member = groups(docs, scheme, id_col=id_col, text_col=text_col)
     member = materialize(member, "groups")
