@@ -104,3 +104,15 @@ def test_candidates_of_the_fingerprints_are_compared_by_their_shingles(spark):
     every = lambda nodes: nodes.select(nodes.node.alias("a")).crossJoin(nodes.select(nodes.node.alias("b"))).where("a < b")
     got = neardup.groups(spark.createDataFrame(docs, DOCS), neardup.Similar(bands=0), every, simhash.components)
     assert sorted({r.component_id for r in got.collect()}) == by_hand(docs)
+
+
+def test_a_run_that_is_joined_but_for_a_few_is_met_by_these_only(spark, monkeypatch):
+    """One side of the last round's pairs holds no node with its run's most frequent label, and no pair is lost by it."""
+    active = spark.createDataFrame([(1, "a" if i < 50 else f"s{i}") for i in range(53)] + [(2, "b")] * 9, "key long, label string")
+    assert [tuple(r) for r in neardup._frequent(active).collect()] == [(1, "a")]
+    monkeypatch.setattr(neardup, "CENTRES", 0)
+    rng, docs = random.Random(9), []
+    base = words(rng, 200)
+    for i in range(40):  # exact but for a word at the end, and some that share bands with them and are less near
+        docs.append((i, " ".join([*base[:199], f"end{i}"] if i < 32 else base[: 165 + i] + words(rng, 45 - i // 2))))
+    assert kept(spark, docs) == by_hand(docs)

@@ -189,6 +189,12 @@ def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(to, rows["node"] == to["f_node"], "left").select(*rows.columns, F.coalesce("f_label", "node").alias("label"))
 
 
+def _frequent(active: DataFrame) -> DataFrame:
+    """(key, top): the most frequent label of each run of several; what has it needs no comparison with its like, so one side of the pairs goes without."""
+    counted = active.groupBy("key", "label").agg(F.count("*").alias("n"))
+    return counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("c"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("c.label").alias("top"))
+
+
 def links(shared: DataFrame, tested: DataFrame, sets: DataFrame, scheme: Similar, components) -> DataFrame | None:
     """(node, label) of all nodes that verified links join up: the pairs tested (a, b), and each that shares a key, being compared or joined already.
 
@@ -205,14 +211,18 @@ def links(shared: DataFrame, tested: DataFrame, sets: DataFrame, scheme: Similar
             break
         last = turn == CENTRES
         rows = active.select("key", "node", "m", "label")
+        once = F.col("node_a") < F.col("node_b")
         if last:
             own = sets.select(F.col("node").alias("h_node"), "hist")
-            rows = rows.join(runs.select("key"), "key", "left_semi").join(own, F.col("node") == F.col("h_node")).drop("h_node")
-        x = rows.join(runs.where(F.col("n") <= SMALL_RUN).select("key"), "key") if not last else rows
+            rows = rows.join(materialize(_frequent(active), "frequent"), "key").join(own, F.col("node") == F.col("h_node")).drop("h_node")
+            once = once | (F.col("label_b") == F.col("top_b"))
+        x = rows.where("label <> top") if last else rows.join(runs.where(F.col("n") <= SMALL_RUN).select("key"), "key")
         x, y = (r.select("key", *(F.col(c).alias(f"{c}_{s}") for c in r.columns if c != "key")) for r, s in ((x, "a"), (rows, "b")))
         able = _may_match_whole("hist_a", "hist_b", "m_a", "m_b", scheme) if last else _may_match("m_a", "m_b", scheme)
-        sized = [F.col(f"{c}_{s}").alias(t) for c, s, t in (("node", "a", "a"), ("node", "b", "b"), ("m", "a", "m_a"), ("m", "b", "m_b"))]
-        pairs = x.join(y.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & able).select(*sized)
+        pairs = x.join(y.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & once & (F.col("label_a") != F.col("label_b")) & able)
+        # a < b, each with its size; only where the frequent label was left out may they come the other way round.
+        first = F.col("node_a") < F.col("node_b")
+        pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.when(first, F.col("m_a")).otherwise(F.col("m_b")).alias("m_a"), F.when(first, F.col("m_b")).otherwise(F.col("m_a")).alias("m_b"))
         rest = None
         if not last:
             rest = materialize(active.join(runs.where(F.col("n") > SMALL_RUN), "key").where("node <> c.node"), "long-runs")
