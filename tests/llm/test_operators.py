@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, langid, linededup, lm, mixing, quality, simhash, tokens, topk, urlfilter
-from tidemill.llm.eliasfano import EliasFano, open_mapped, pack, put
+from tidemill.llm.eliasfano import EliasFano, _bit_before, _bit_of, open_mapped, pack, put
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words int, pos int, h long, target string"
 
@@ -514,3 +514,19 @@ def test_language_edges(spark):
 def test_fixed_digests():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and json.loads("{}") == {}
     assert xxhash.xxh64_intdigest(b"", 42) == 0x98B1582B0977E704
+
+
+def test_elias_fano_finds_bits_within_words_and_across_them():
+    rng = np.random.default_rng(4)
+    words = np.concatenate([rng.integers(0, 1 << 64, 300, np.uint64), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)])
+    ones = [[b for b in range(64) if w >> b & 1] for w in words.tolist()]
+    for w, at in zip(words, ones, strict=True):
+        many = np.full(len(at), w)
+        assert _bit_of(many, np.arange(len(at), dtype=np.int16)).tolist() == at
+        assert _bit_before(many, np.array(at, np.uint64)).tolist() == [-1, *at[:-1]]
+    crowded = np.sort(np.concatenate([rng.integers(0, 1 << 40, 3000, np.uint64), np.repeat(rng.integers(0, 1 << 40, 3, np.uint64), 700), np.arange(1 << 30, (1 << 30) + 5000, dtype=np.uint64)]))
+    for v in (crowded, np.arange(2000, dtype=np.uint64), np.array([0, 0, 1 << 62], np.uint64), np.zeros(900, np.uint64)):
+        e, first = EliasFano.build(v), np.searchsorted(v, v)
+        assert e.get(np.arange(len(v))).tolist() == v.tolist() and e.find(v).tolist() == first.tolist()
+        other = np.setdiff1d(np.concatenate([v + np.uint64(1), rng.integers(0, 1 << 63, 500, np.uint64)]), v)
+        assert (e.find(other) == -1).all()

@@ -32,6 +32,27 @@ def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+def _bit_of(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) one of each word, by halving."""
+    place = np.zeros(len(words), np.uint8)
+    for half in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(words & np.uint64((1 << half) - 1))
+        over = below <= k
+        k = k - below * over
+        step = over * np.uint8(half)
+        words = words >> step
+        place += step
+    return place
+
+
+def _bit_before(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Place of the last one of each word below the given place, -1 where there is none."""
+    m = words & ((np.uint64(1) << place) - np.uint64(1))
+    for half in (1, 2, 4, 8, 16, 32):
+        m = m | (m >> np.uint64(half))
+    return np.bitwise_count(m).astype(np.int64) - 1
+
+
 class EliasFano:
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
@@ -81,14 +102,16 @@ class EliasFano:
             block = np.searchsorted(before, kk, side="right") - 1
             words = self.high[block[:, None] * _SUPER + np.arange(_SUPER)]
             words = words if bit else ~words
-            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-            rest = kk - before[block]
-            word = (upto <= rest[:, None]).sum(1)
-            row = np.arange(len(kk))
-            rest = rest - np.where(word > 0, upto[row, np.maximum(word - 1, 0)], 0)
-            bits = np.unpackbits(words[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            inside = (np.cumsum(bits, axis=1, dtype=np.uint8) > rest[:, None]).argmax(1)
-            out[s : s + _CHUNK] = (block * _SUPER + word) * 64 + inside
+            counts = np.bitwise_count(words)
+            rest = (kk - before[block]).astype(np.int16)
+            word, upto = np.zeros(len(kk), np.int64), np.zeros(len(kk), np.int16)
+            past = np.zeros(len(kk), np.int16)
+            for c in range(_SUPER - 1):
+                upto += counts[:, c]
+                over = upto <= rest
+                word += over
+                past[over] = upto[over]
+            out[s : s + _CHUNK] = (block * _SUPER + word) * 64 + _bit_of(words[np.arange(len(kk)), word], rest - past)
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -104,9 +127,13 @@ class EliasFano:
         upper = x >> np.uint64(self.low_bits)
         live = np.flatnonzero(upper < np.uint64(len(self.high) * 64 - self.n))
         h = upper[live].astype(np.int64)
-        low, end = np.zeros(len(live), np.int64), self._select(h, 0) - h
-        some = h > 0
-        low[some] = self._select(h[some] - 1, 0) - (h[some] - 1)
+        at = self._select(h, 0)
+        end = at - h
+        last = _bit_before(~self.high[at >> 6], (at & 63).astype(np.uint64))
+        low = (at & ~63) + last - (h - 1)  # the zero before is mostly in the same word
+        low[h == 0] = 0
+        far = np.flatnonzero((last < 0) & (h > 0))
+        low[far] = self._select(h[far] - 1, 0) - (h[far] - 1)
         want = x[live] & np.uint64((1 << self.low_bits) - 1)
         top = end.copy()
         busy = np.flatnonzero(low < top)
