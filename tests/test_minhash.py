@@ -1,11 +1,14 @@
 """MinHash bands of the article dedup against what independent functions give."""
 
+import hashlib
 import random
 
 import pandas as pd
 import pytest
+import xxhash
 
 from tidemill.operators import dedup
+from tidemill.plans import queries
 
 
 def hits(shared, own, n=800):
@@ -25,3 +28,30 @@ def test_band_hits_are_those_of_independent_functions(shared, own):
     s = shared / (shared + 2 * own)
     want = 1 - (1 - s**dedup.ROWS) ** dedup.BANDS
     assert abs(hits(shared, own) - want) < 0.03
+
+
+def plain(text):
+    """The bands of a text, one shingle and one function at a time."""
+    h = {int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dedup.PRIME for w in dedup.windows(text)}
+    sig = [min((a * x + b) % dedup.PRIME for x in h) for a, b in zip(dedup._A.tolist(), dedup._B.tolist())]
+    return [xxhash.xxh64_intdigest(b"".join(m.to_bytes(8, "little") for m in sig[k : k + dedup.ROWS])) >> 1 for k in range(0, len(sig), dedup.ROWS)]
+
+
+def test_bands_are_those_of_the_plain_rule_and_shingles_are_hashed_side_by_side(monkeypatch):
+    rng = random.Random(5)
+    odd = ["", None, " ", "a", "A b", "a  B\tc\n", "記事 記事", "記", "한국어 텍스트 abc", "İstanbul é 𝒳", "a\x00b c\x0bd　e", *("b" * n for n in (55, 56, 63, 64, 200)), "é" * 40 + " x y z"]
+    odd += ["".join(rng.choice("aB \t記é𝒳\x1fz") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    odd += [" ".join(str(rng.randint(0, 10**6)) for _ in range(n)) for n in (900, 5, 400)] + [None]
+    want = [None if t is None else plain(t) for t in odd]
+    monkeypatch.setattr(dedup, "GROUP", 700)
+    monkeypatch.setattr(dedup, "STEP", 64)
+    assert list(next(dedup.minhash_bands.func(iter([pd.Series(odd)])))) == want
+    texts = ["one two three four five " * 50, "x" * 60]
+    want, calls, md5 = [plain(t) for t in texts], [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda *a, **b: calls.append(1) or md5(*a, **b))
+    assert list(next(dedup.minhash_bands.func(iter([pd.Series(texts)])))) == want and len(calls) == 1
+
+
+def test_dedup_near_works_out_each_signature_once(spark, sf_dir):
+    plan = queries.queries()["dedup_near"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
