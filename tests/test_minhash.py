@@ -55,3 +55,23 @@ def test_bands_are_those_of_the_plain_rule_and_shingles_are_hashed_side_by_side(
 def test_dedup_near_works_out_each_signature_once(spark, sf_dir):
     plan = queries.queries()["dedup_near"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_layered_takes_only_shared_keys_into_its_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.randint(0, 10**6)) for _ in range(30)) for _ in range(60)]
+    data = [(i, f"http://a/{i}", t, f"t{i}", "2024-01-01") for i, t in enumerate(texts)]
+    data += [(60, "http://a/60", texts[7], "t7", "2024-01-01"), (61, "http://a/3", texts[9], None, None), (62, "http://a/62", None, "t7", "2024-01-01"), (63, "http://a/63", None, None, None)]
+    sizes, write = {}, dedup.written
+
+    def written(df, label):
+        out = write(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "written", written)
+    got = {r.seq: r for r in dedup.layered(spark.createDataFrame(data, "seq long, url string, text string, title string, publish_date string")).collect()}
+    assert {k: (r.dup_type, r.duplicate_of, r.original_key) for k, r in got.items() if not r.kept} == {60: ("exact_content", 7, "https://a/7"), 61: ("url", 3, "https://a/3"), 62: ("near_content", 7, "https://a/7")}
+    assert len(got) == 64 and all(r.reason is None and r.duplicate_of is None and r.original_key is None for r in got.values() if r.kept)
+    # 7 and 60 share 9 bands, the text and the title; 62 shares the title. Nothing else goes on.
+    assert max(n for label, n in sizes.items() if label not in ("keys", "firsts")) == 2 * (dedup.BANDS + 2) + 1

@@ -158,40 +158,37 @@ def layered(docs: DataFrame, *, near: bool = True, existing: DataFrame | None =
         docs = docs.unionByName(existing.withColumn("forced", F.lit(True)))
     title, date = norm_title(F.col("title")), norm_date(F.col("publish_date"))
     base = docs.select("seq", "forced", normalize_url(F.col("url")).alias("url_key"), F.sha2("text", 256).alias("sha"), F.when(title.isNotNull() & date.isNotNull(), F.concat_ws("\x1f", title, date)).alias("td"), "text")
-    keys = F.array(F.struct(F.lit(2).alias("layer"), F.col("sha").alias("key")), F.struct(F.lit(4).alias("layer"), F.col("td").alias("key")))
-    if near:
-        # Written first: a Python function's result can't be bound inside a higher-order function of the same stage.
-        base = written(base.withColumn("bands", minhash_bands("text")).drop("text"), "bands")
-        bands = F.transform(F.coalesce("bands", F.array().cast("array<bigint>")), lambda b, i: F.struct(F.lit(3).alias("layer"), F.concat_ws(":", i.cast("string"), b.cast("string")).alias("key")))
-        keys = F.concat(keys, bands)
-    base = written(base.select("seq", "forced", "url_key", F.filter(keys, lambda k: k["key"].isNotNull()).alias("keys")), "keys")
+    base = written(base.withColumn("bands", minhash_bands("text") if near else F.lit(None).cast("array<bigint>")).drop("text").where("url_key is not null"), "keys")
     # The earliest of each url key by an aggregate, which combines before its shuffle, not by a window over all its rows.
-    firsts = base.groupBy("url_key").agg(F.min("seq").alias("first"))
-    base = written(base.join(firsts, "url_key"), "firsts")
-    live = base.where("forced or seq = first")
-    held = written(live.select("seq", F.explode("keys").alias("k")).select("seq", "k.layer", "k.key"), "held")
-    state = written(live.select("seq", F.when(F.col("forced"), True).alias("kept")), "state")
-    while True:
-        known = held.join(state, "seq")
-        low = known.groupBy("layer", "key").agg(F.min(F.when(F.col("kept"), F.col("seq"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("seq"))).alias("u"))
-        seen = known.where("kept is null").join(low, ["layer", "key"])
+    rows = base.select("seq", "forced", "url_key")
+    rows = written(rows.join(rows.groupBy("url_key").agg(F.min("seq").alias("first")), "url_key"), "firsts")
+    again = rows.where("not forced and seq <> first")
+    keys = [(2, F.col("sha")), (4, F.col("td")), *((3, F.get("bands", F.lit(i)).cast("string")) for i in range(BANDS if near else 0))]
+    keys = F.array(*(F.struct(F.lit(n).alias("layer"), F.lit(i).alias("slot"), k.alias("key")) for i, (n, k) in enumerate(keys)))
+    held = base.join(again, "seq", "left_anti").select("seq", "forced", F.explode(keys).alias("k")).select("seq", "forced", "k.*").where("key is not null")
+    # A key that one row holds decides nothing. Those of several go by their slot and earliest holder, who has one key in it.
+    shared = held.groupBy("slot", "key").agg(F.min("seq").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = written(held.join(shared, ["slot", "key"]).select("seq", "forced", "layer", "slot", "holder"), "links")
+    state = written(links.select("seq", "forced").distinct().select("seq", F.when(F.col("forced"), True).alias("kept")), "state")
+    while not state.where("kept is null").isEmpty():
+        known = links.join(state, "seq")
+        low = known.groupBy("slot", "holder").agg(F.min(F.when(F.col("kept"), F.col("seq"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("seq"))).alias("u"))
+        seen = known.where("kept is null").join(low, ["slot", "holder"])
         per = seen.groupBy("seq").agg(F.bool_or(F.coalesce(F.col("k") < F.col("seq"), F.lit(False))).alias("hit"), F.bool_and(F.col("u") == F.col("seq")).alias("earliest"))
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("earliest", F.lit(True)), True)
+        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("earliest"), True)
         state = written(state.join(per, "seq", "left").select("seq", new.alias("kept")), "state")
-        if state.where("kept is null").isEmpty():
-            break
-    kept = held.join(state.where("kept"), "seq").groupBy("layer", "key").agg(F.min("seq").alias("orig"))
-    why = held.join(state.where("not kept"), "seq").join(kept, ["layer", "key"]).where("orig < seq").groupBy("seq").agg(F.min(F.struct("layer", "orig")).alias("w"))
-    out = base.where("not forced").join(state, "seq", "left").join(why, "seq", "left")
-    layer = F.when(F.col("seq") != F.col("first"), 1).otherwise(F.col("w.layer"))
-    out = out.select(
-        "seq", "url_key", F.coalesce("kept", F.lit(False)).alias("kept"),
+    kept = links.join(state.where("kept"), "seq").groupBy("slot", "holder").agg(F.min("seq").alias("orig"))
+    why = links.join(state.where("not kept"), "seq").join(kept, ["slot", "holder"]).where("orig < seq").groupBy("seq").agg(F.min(F.struct("layer", "orig")).alias("w"))
+    # Only what is dropped looks for its original: all others would meet in the task of null.
+    dropped = again.select("seq", F.lit(1).alias("layer"), F.col("first").alias("duplicate_of")).unionByName(why.select("seq", "w.layer", F.col("w.orig").alias("duplicate_of")))
+    dropped = dropped.join(rows.select(F.col("seq").alias("duplicate_of"), F.col("url_key").alias("original_key")), "duplicate_of")
+    layer = F.col("layer")
+    return rows.where("not forced").join(dropped, "seq", "left").select(
+        "seq", "url_key", layer.isNull().alias("kept"),
         F.when(layer == 1, "duplicate_url").when(layer == 2, "duplicate_content:exact_hash").when(layer == 3, "duplicate_content:near_duplicate_of").when(layer == 4, "duplicate_title_date").alias("reason"),
         F.when(layer == 1, "url").when(layer == 2, "exact_content").when(layer.isin(3, 4), "near_content").alias("dup_type"),
-        F.when(layer == 1, F.col("first")).otherwise(F.col("w.orig")).alias("duplicate_of"),
+        "duplicate_of", "original_key",
     )
-    origin = base.select(F.col("seq").alias("duplicate_of"), F.col("url_key").alias("original_key"))
-    return out.join(origin, "duplicate_of", "left").select(*out.columns, "original_key")
 
 
 def statistics(articles: DataFrame) -> DataFrame:
